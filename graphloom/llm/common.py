@@ -128,3 +128,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, roll: Rolling, gap: np.nd
         lo = hi
     starts = np.concatenate(word_starts) if word_starts else np.zeros(0, np.int64)
     return (np.concatenate(hashes) if hashes else np.zeros(0, U64)), np.searchsorted(starts, offsets)
+
+
+def record_batches(rows, schema: pa.Schema, most: int = 2000, size=None, most_size: int = 1 << 23):
+    """Record batches of tuples; size(row) bounds a batch besides the number of rows."""
+    held, held_size = [], 0
+
+    def batch():
+        columns = zip(*held) if held else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        held_size += size(row) if size else 0
+        if len(held) >= most or held_size >= most_size:
+            yield batch()
+            held, held_size = [], 0
+    if held:
+        yield batch()
