@@ -21,14 +21,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), a local one."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(
+        tempfile.gettempdir(), "graphloom-checkpoints"
+    )
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names in
-    spark.checkpoint.dir; only where that setting is absent (tests) a local folder is used."""
+    """Cuts the lineage with a reliable checkpoint in that folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
-        )
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -41,6 +41,18 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.substring_dedup import digest, remove_repeats
+
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.suffix_dedup import digest, remove_repeats
+
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 OP7_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -56,7 +68,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n_text + CASE role WHEN 'user' THEN 19 WHEN 'assistant' THEN 8 ELSE 21 + n_role END) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
-""".replace("\\", "\")
+"""
 
 
 def queries() -> dict:
