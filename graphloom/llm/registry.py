@@ -71,6 +71,13 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     found = (f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit())
     return {f.__name__: f for f in found}
