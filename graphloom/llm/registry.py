@@ -18,6 +18,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pii import private
+
+    return private(table(spark, sf_dir, "documents"))
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.token_counts import token_counts
 
@@ -59,6 +71,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP7_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -86,7 +110,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit())
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
