@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import U64, Rolling, mix, raw, word_hashes
 from graphloom.llm.components import components
-from graphloom.llm.repeats import Sketch, block_batches, written
+from graphloom.llm.repeats import Sketch, bitmap, written
 
 #: Words in a shingle, least Jaccard similarity, bands, registers in a band: a pair at the least similarity shares a
 #: band with probability 1 - (1 - 0.8**4)**24 > 0.99999.
@@ -118,15 +118,7 @@ def among(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
         data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 16)
         return data[:, :8].copy().view(U64)[:, 0] if len(data) else np.zeros(0, U64)
 
-    def count(batches):
-        yield from block_batches(sketch.counts(prefix(b.column(0)) for b in batches))
-
-    def merge(batches):
-        yield from block_batches(sketch.merged(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))))
-
-    schema = "block int, one binary, two binary"
-    blocks = ids.select("h").mapInArrow(count, schema).repartition("block").mapInArrow(merge, schema)
-    present = sketch.repeated((r.block, r.one) for r in blocks.select("block", "one").toLocalIterator())
+    present = bitmap(ids.select("h"), sketch, lambda batch: prefix(batch.column(0)))
     shared = docs.sparkSession.sparkContext.broadcast(present)
 
     def keep(batches):
@@ -184,6 +176,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return own.join(heads, "label").select("doc_id", "class_id")
 
 
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class, with all columns of docs: that with the least doc_id (null first), then the least
+    128-bit hash of its text; of rows that repeat both, one."""
+    labels = linked(docs, similarity)
+    keyed = docs.withColumn("__h", text_id()).withColumn("__k", F.xxhash64(F.col("doc_id").cast("long")))
+    own = keyed.select(F.col("doc_id").cast("long").alias("d"), F.col("__h").alias("h"), "__k").join(labels, "h", "left")
+    own = own.groupBy(F.coalesce("label", "h").alias("label")).agg(F.min(F.struct("d", "h", "__k")).alias("head"))
+    heads = own.select(F.col("head.h").alias("__h"), F.col("head.__k").alias("__k"))
+    kept = keyed.join(heads, ["__h", "__k"], "left_semi").dropDuplicates(["__h", "__k"])
+    return kept.select(*docs.columns)
+
+
 def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h, label) for those texts that have a near-duplicate among other texts."""
     keys = bands(docs).select("h", F.explode("keys").alias("key"))

@@ -9,11 +9,13 @@ in two equal contexts or in two different contexts of one anchor:
    bound for the number of times that any window occurs.
 2. runs(): a second pass keeps the runs whose anchors may occur twice. None that does is lost.
 3. contexts(): exact groups of equal contexts, pre-aggregated before the shuffle, so that thousands of copies
-   become one row; windows shared by different contexts are found among these rows alone.
+   become one row. Only where an anchor has several contexts, windows are looked at: a third pass fetches one
+   occurrence of each such context with its content (mixed_runs), and whole anchors meet in shards.
 """
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, Rolling, checkpoint_dir, mix, raw, text_key, word_hashes
+from graphloom.llm.common import U64, Rolling, checkpoint_dir, mix, raw, record_batches, text_key, word_hashes
 
 #: Units worked on at once.
 CHUNK = 1 << 19
@@ -147,6 +149,7 @@ class Sketch:
 
 
 BLOCKS = pa.schema([("block", pa.int32()), ("one", pa.binary()), ("two", pa.binary())])
+BLOCKS_SQL = "block int, one binary, two binary"
 
 
 def block_batches(rows):
@@ -154,8 +157,26 @@ def block_batches(rows):
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCKS)], schema=BLOCKS)
 
 
+#: A document among those with its doc_id: 31 bits of its text's hash. A place within it is t * 2**32 + start.
+T_BITS = 0x7FFFFFFF
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_key().bitwiseAND(F.lit(T_BITS)).alias("t"), "text"
+    )
+
+
+def position():
+    """Where a window or run starts, in the order of documents."""
+    return F.struct("doc_id", "p")
+
+
+def spans(start, end):
+    """Columns doc_id, t, s, e of spans, from where p starts."""
+    t = F.shiftright("p", 32)
+    s = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.col("doc_id"), t.alias("t"), (s + start).cast("long").alias("s"), (s + end).cast("long").alias("e")
 
 
 def count_min(docs: DataFrame, kind: Kind, sketch: Sketch) -> np.ndarray:
@@ -174,15 +195,32 @@ def count_min(docs: DataFrame, kind: Kind, sketch: Sketch) -> np.ndarray:
     def merge(batches):
         yield from block_batches(sketch.merged(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))))
 
-    schema = "block int, one binary, two binary"
-    parts = keyed(docs).mapInArrow(count, schema).repartition("block").mapInArrow(merge, schema)
-    return sketch.repeated((r.block, r.two) for r in parts.select("block", "two").toLocalIterator())
+    return sketch.repeated(merged_blocks(keyed(docs).mapInArrow(count, BLOCKS_SQL), sketch, "two"))
+
+
+def merged_blocks(blocks: DataFrame, sketch: Sketch, which: str):
+    def merge(batches):
+        yield from block_batches(sketch.merged(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))))
+
+    merged = blocks.repartition("block").mapInArrow(merge, BLOCKS_SQL)
+    return ((r[0], r[1]) for r in merged.select("block", which).toLocalIterator())
+
+
+def bitmap(rows: DataFrame, sketch: Sketch, hashes) -> np.ndarray:
+    """Which counters the hashes(batch) of all rows touch; for may_repeat()."""
+
+    def count(batches):
+        yield from block_batches(sketch.counts(hashes(b) for b in batches))
+
+    return sketch.repeated(merged_blocks(rows.mapInArrow(count, BLOCKS_SQL), sketch, "one"))
+
 
+RUNS = "anchor long, c1 long, c2 long, doc_id long, p long, n int"
 
-RUNS = "anchor long, c1 long, c2 long, doc_id long, tk long, start int, n int, content binary"
-RUNS_ROW = pa.schema(
-    [(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in RUNS.split(", ")]
-)
+
+def schema_of(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
 
 
 def ranges_of(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -193,77 +231,167 @@ def ranges_of(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Arr
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes())])
 
 
+def cut_runs(batches, cutter: Cutter, wanted):
+    """The columns of RUNS for the wanted runs of a chunk, with what their contents are cut from."""
+    for batch in batches:
+        doc_ids, t = batch.column(0), batch.column(1).to_numpy()
+        for rows, values, offsets, skipped, data in cutter.chunks(batch):
+            start, n, doc, anchor, sums = cutter.anchors(values, offsets)
+            end = start + n + cutter.kind.window - 1
+            c1 = cutter.first.ranges(sums, start, end)
+            p = (t[rows[doc]] << 32) + start - offsets[doc] + skipped
+            owners = doc_ids.take(pa.array(rows[doc]))
+            keep = wanted(anchor, c1, owners, p)
+            if not len(keep):
+                continue
+            start, end, n = start[keep], end[keep], n[keep]
+            second = cutter.second.sums(values)
+            columns = [
+                *(pa.array(x.view(np.int64)) for x in (anchor[keep], c1[keep], cutter.second.ranges(second, start, end))),
+                owners.take(pa.array(keep)), pa.array(p[keep]), pa.array(n.astype(np.int32)),
+            ]
+            yield columns, keep, (start, end, n), (second, data)
+
+
 def runs(docs: DataFrame, kind: Kind, sketch: Sketch, repeated: np.ndarray) -> DataFrame:
-    """The runs whose anchors may occur twice: anchor, c1 and c2 (128 bits of the context), the document, start, n
-    windows, content: the context's bytes, or for words the windows' hashes (8 bytes each)."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    """The runs whose anchors may occur twice: anchor, c1 and c2 (128 bits of the context), doc_id, p, n windows."""
+    shared, schema = docs.sparkSession.sparkContext.broadcast(repeated), schema_of(RUNS)
 
     def cut(batches):
-        cutter = Cutter(kind)
-        for batch in batches:
-            doc_ids, keys = batch.column(0), batch.column(1)
-            for rows, values, offsets, skipped, data in cutter.chunks(batch):
-                start, n, doc, anchor, sums = cutter.anchors(values, offsets)
-                keep = np.flatnonzero(sketch.may_repeat(shared.value, anchor))
-                if not len(keep):
-                    continue
-                start, n, doc, anchor = start[keep], n[keep], doc[keep], anchor[keep]
-                end = start + n + kind.window - 1
-                c1 = cutter.first.ranges(sums, start, end)
-                c2 = cutter.second.ranges(cutter.second.sums(values), start, end)
-                if data is None:
-                    windows = cutter.second.windows(cutter.second.sums(values), kind.window)
-                    content = ranges_of(windows.view(np.uint8), 8 * start, 8 * n)
-                else:
-                    content = ranges_of(data, start, end - start)
-                at = pa.array(rows[doc])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array(x.view(np.int64)) for x in (anchor, c1, c2)),
-                        doc_ids.take(at),
-                        keys.take(at),
-                        pa.array((start - offsets[doc] + skipped).astype(np.int32)),
-                        pa.array(n.astype(np.int32)),
-                        content,
-                    ],
-                    schema=RUNS_ROW,
-                )
+        wanted = lambda anchor, *_: np.flatnonzero(sketch.may_repeat(shared.value, anchor))
+        for columns, *_ in cut_runs(batches, Cutter(kind), wanted):
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return keyed(docs).mapInArrow(cut, RUNS)
 
 
+class Scratch:
+    """Tables in the shared folder, for what is read more than once: executors may be lost. They go when the
+    operator no longer needs them."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{checkpoint_dir(self.spark)}/graphloom-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for x in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(x))[0])
+            path.getFileSystem(conf).delete(path, True)
+
+    def free(self) -> None:
+        """Lets Spark remove the shuffle files of plans that are out of use."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: executors may be lost, and it is read more than once."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/graphloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df)
 
 
-def position():
-    """Where a window or run starts, in the order of documents."""
-    return F.struct("doc_id", "tk", "start")
+def contexts(found: DataFrame) -> DataFrame:
+    """Of runs(): anchor, c1, c2, the first place where the context occurs, and whether it occurs at others."""
+    place = position()
+    out = found.groupBy("anchor", "c1", "c2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    return out.select("anchor", "c1", "c2", "first", (~F.col("first").eqNullSafe(F.col("last"))).alias("again"))
 
 
+def occurrence_hash(c1: np.ndarray, doc_id: pa.Array, p: np.ndarray) -> np.ndarray:
+    return mix(mix(c1.view(U64) ^ doc_id.fill_null(-1).to_numpy(zero_copy_only=False).view(U64)) + p.view(U64))
 
-def contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of runs(): every context with the first and last place where it occurs, and of those contexts whose anchor
-    has several, the first occurrence with its content."""
-    known = written(
-        found.groupBy("anchor", "c1", "c2").agg(F.min(position()).alias("first"), F.max(position()).alias("last"))
+
+MIXED = RUNS + ", content binary, many boolean"
+
+
+def mixed_runs(docs: DataFrame, kind: Kind, known: DataFrame, bits: int, many: int) -> DataFrame:
+    """Of each context whose anchor has several, the first occurrence, as in runs(), with its content (bytes, or for
+    words the windows' hashes, 8 bytes each) and whether the anchor has more than `many` contexts. Other occurrences
+    may come with them, as the places are looked up in a bitmap of fixed size."""
+    several = known.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    firsts = known.join(several, "anchor").select(
+        "c1", F.col("first.doc_id").alias("doc_id"), F.col("first.p").alias("p"), F.col("n") > many
     )
-    several = known.groupBy("anchor").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1")
-    mixed = known.join(several, "anchor").select("c1", "c2", "first", "last", "n_contexts")
-    own = found.join(mixed, ["c1", "c2"]).where(position().eqNullSafe(F.col("first")))
-    return known, own
+    of_few, of_many = Sketch(bits), Sketch(bits - 3)
+    hashes = lambda large: lambda b: occurrence_hash(
+        *(x if i == 1 else x.to_numpy() for i, x in enumerate(b.filter(b.column(3) if large else invert(b.column(3))).columns[:3]))
+    )
+    spark = docs.sparkSession
+    maps = spark.sparkContext.broadcast((bitmap(firsts, of_few, hashes(False)), bitmap(firsts, of_many, hashes(True))))
+    schema = schema_of(MIXED)
+
+    def cut(batches):
+        cutter, large = Cutter(kind), None
+
+        def wanted(anchor, c1, owners, p):
+            nonlocal large
+            at = occurrence_hash(c1, owners, p)
+            large = of_many.may_repeat(maps.value[1], at)
+            return np.flatnonzero(of_few.may_repeat(maps.value[0], at) | large)
+
+        for columns, keep, (start, end, n), (second, data) in cut_runs(batches, cutter, wanted):
+            if data is None:
+                windows = cutter.second.windows(second, kind.window)
+                content = ranges_of(windows.view(np.uint8), 8 * start, 8 * n)
+            else:
+                content = ranges_of(data, start, end - start)
+            yield pa.RecordBatch.from_arrays([*columns, content, pa.array(large[keep])], schema=schema)
+
+    return keyed(docs).mapInArrow(cut, MIXED)
+
+
+def invert(column: pa.Array) -> pa.Array:
+    return pa.array(~column.to_numpy(zero_copy_only=False))
+
+
+SPANS = "doc_id long, t long, s long, e long"
+
+
+def in_shards(mixed: DataFrame, spans_of, shard: int, window: int) -> DataFrame:
+    """Spans from spans_of(doc_id, p, contents) -> starts of windows by content, over shards of whole anchors."""
+    schema = schema_of(SPANS)
+
+    def run(batches):
+        def of(rows):
+            doc_id, p, anchor, contents = zip(*rows)
+            for i, at in enumerate(spans_of(doc_id, p, anchor, contents)):
+                if len(at):
+                    new = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+                    last, start = np.append(new[1:], len(at)) - 1, p[i] & 0xFFFFFFFF
+                    for s, e in zip(at[new].tolist(), at[last].tolist()):
+                        yield doc_id[i], p[i] >> 32, start + s, start + e + window
+
+        def found():
+            rows, size, anchor, known = [], 0, None, None
+            for batch in batches:
+                for a, c1, c2, doc_id, p, content in zip(*(c.to_pylist() for c in batch.columns)):
+                    if a != anchor and size >= shard:
+                        yield from of(rows)
+                        rows, size = [], 0
+                    if (a, c1, c2) != known:  # the first occurrence stands for a context
+                        rows.append((doc_id, p, a, content))
+                        size += len(content)
+                    anchor, known = a, (a, c1, c2)
+            if rows:
+                yield from of(rows)
+
+        yield from record_batches(found(), schema, 20_000)
+
+    by_anchor = mixed.select("anchor", "c1", "c2", "doc_id", "p", "content").repartition("anchor")
+    return by_anchor.sortWithinPartitions("anchor", "c1", "c2", "doc_id", "p").mapInArrow(run, SPANS)
 
 
 def removals(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs(doc_id, tk, text) with the sorted spans of each document: array of (start, end), null for none."""
-    by_doc = spans.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
-    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("tk").alias("t"), "spans")
+    """docs(doc_id, text) with the sorted spans of each document: array of (s, e), null for none."""
+    by_doc = spans.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "spans")
     docs = keyed(docs)
-    return docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["d"]) & (docs["tk"] == by_doc["t"]), "left").select(
+    return docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["d"]) & (docs["t"] == by_doc["u"]), "left").select(
         "doc_id", "text", "spans"
     )
 

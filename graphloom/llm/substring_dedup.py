@@ -4,47 +4,79 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import record_batches
-from graphloom.llm.repeats import Kind, Sketch, contexts, count_min, merged, position, removals, runs, written
+from graphloom.llm.repeats import (
+    Kind, Scratch, Sketch, contexts, count_min, in_shards, merged, mixed_runs, position, removals, runs, spans,
+)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Binary logarithm of the counters in a row of the sketch: 8 MB a row once merged.
 BITS = 26
+#: Bytes of window hashes in a shard, about; contexts of one anchor beyond which windows become rows.
+SHARD, MANY = 1 << 22, 1 << 16
+
+
+def later_windows(doc_id, p, anchor, contents):
+    """For each context the windows that also occur in an earlier place of the same shard."""
+    n = np.array([len(c) // 8 for c in contents])
+    windows = np.frombuffer(b"".join(contents), np.uint64)
+    own = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(windows)) - np.repeat(np.cumsum(n) - n, n)
+    ids = np.array([-(2**63) if d is None else d for d in doc_id], np.int64)[own]
+    place = np.array(p, np.int64)[own] + at
+    anchors = np.array(anchor, np.int64)[own]
+    order = np.lexsort((place, ids, windows, anchors))
+    same = (np.diff(windows[order], prepend=np.uint64(0)) == 0) & (np.diff(anchors[order], prepend=0) == 0)
+    same[:1] = False
+    later = np.zeros(len(windows), bool)
+    later[order[same]] = True
+    found = np.flatnonzero(later)
+    bounds = np.searchsorted(own[found], np.arange(len(n) + 1))
+    return [at[found[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def by_windows(mixed: DataFrame, window: int) -> DataFrame:
+    """The same for anchors with any number of contexts: one row per window."""
+    hashes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("content"), i * 8 + 1, 8))
+    windows = mixed.select("anchor", "doc_id", "p", F.posexplode(hashes).alias("i", "w")).select(
+        "anchor", "w", "doc_id", (F.col("p") + F.col("i")).alias("p")
+    )
+    earliest = windows.groupBy("anchor", "w").agg(F.min(position()).alias("first"), F.count("*").alias("times"))
+    later = windows.join(earliest.where("times > 1").drop("times"), ["anchor", "w"])
+    return later.where(~position().eqNullSafe(F.col("first"))).select(*spans(F.lit(0), F.lit(window)))
 
 
-def repeated_words(docs: DataFrame, window: int = 20, bits: int = BITS) -> DataFrame:
-    """Spans (doc_id, tk, s, e) of words covered by a window that also starts earlier."""
-    kind, sketch = Kind(words=True, window=window, k=max(1, window // 2)), Sketch(bits)
-    found = written(runs(docs, kind, sketch, count_min(docs, kind, sketch)))
-    known, own = contexts(found)
+def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 20, bits: int = BITS, many: int = MANY) -> DataFrame:
+    """Spans (doc_id, t, s, e) of words covered by a window that also starts earlier."""
+    kind, sketch = Kind(words=True, window=window, k=max(1, window // 4)), Sketch(bits)
+    found = scratch.write(runs(docs, kind, sketch, count_min(docs, kind, sketch)))
+    known = scratch.write(contexts(found))
+    scratch.free()
     # A context that occurred before: all of its windows did.
-    again = (
-        found.join(known.where(~F.col("first").eqNullSafe(F.col("last"))).select("c1", "c2", "first"), ["c1", "c2"])
-        .where(~position().eqNullSafe(F.col("first")))
-        .select("doc_id", "tk", F.col("start").alias("s"), (F.col("start") + F.col("n") + F.lit(window - 1)).alias("e"))
-    )
+    before = found.join(known.where("again").select("c1", "c2", "first"), ["c1", "c2"])
+    before = before.where(~position().eqNullSafe(F.col("first"))).select(*spans(F.lit(0), F.col("n") + (window - 1)))
+    before = scratch.write(before)
+    scratch.drop(found)
+    scratch.free()
     # Windows that different contexts share: the first occurrence of each context stands for it.
-    hashes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("content"), i * 8 + 1, 8))
-    windows = own.select("anchor", "doc_id", "tk", "start", F.posexplode(hashes).alias("i", "w")).select(
-        "anchor", "w", "doc_id", "tk", (F.col("start") + F.col("i")).alias("start")
-    )
-    earliest = windows.groupBy("anchor", "w").agg(F.min(position()).alias("first"), F.count("*").alias("times"))
-    shared = (
-        windows.join(earliest.where("times > 1").drop("times"), ["anchor", "w"])
-        .where(~position().eqNullSafe(F.col("first")))
-        .select("doc_id", "tk", F.col("start").alias("s"), (F.col("start") + F.lit(window)).alias("e"))
-    )
-    return again.unionByName(shared)
+    mixed = scratch.write(mixed_runs(docs, kind, known, bits, many))
+    scratch.drop(known)
+    shared = in_shards(mixed.where(~F.col("many")), later_windows, SHARD, window)
+    shared = scratch.write(shared.unionByName(by_windows(mixed.where("many"), window)))
+    scratch.drop(mixed)
+    scratch.free()
+    return before.unionByName(shared)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, bits: int = BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, bits: int = BITS, many: int = MANY) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_removed and the kept words, joined by a space, as text.
 
     Words are [^\\x20\\x09-\\x0D]+. A word goes if a window of `window` words covers it whose words also start earlier:
@@ -70,7 +102,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, bits: int = BITS) -> DataF
 
         yield from record_batches(rows(), OUT, size=lambda r: len(r[3]))
 
-    return removals(docs, repeated_words(docs, window, bits)).mapInArrow(
+    return removals(docs, repeated_words(docs, Scratch(docs.sparkSession), window, bits, many)).mapInArrow(
         cut, "doc_id long, n_words long, n_removed long, text string"
     )
 

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Rolling, raw, record_batches
-from graphloom.llm.repeats import Kind, Sketch, contexts, count_min, merged, position, removals, runs, written
+from graphloom.llm.repeats import (
+    Kind, Scratch, Sketch, contexts, count_min, in_shards, merged, mixed_runs, position, removals, runs, spans,
+)
 from graphloom.llm.suffix_array import permuted_lcp, suffix_array
 
 #: Binary logarithm of the counters in a row of the sketch that finds candidate shards.
 BITS = 26
 #: Bytes in a shard, about; contexts of one anchor beyond which they are told apart by their windows' hashes.
 SHARD, MANY = 1 << 21, 8192
-SPAN = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
-SPAN_SQL = "doc_id long, tk long, s long, e long"
 
 
-def repeated_starts(contents: list[bytes], window: int) -> list[np.ndarray]:
+def repeated_starts(contents: Sequence[bytes], window: int) -> list[np.ndarray]:
     """For each byte string the starts of those windows in it that also start elsewhere among all of them."""
     lengths = np.array([len(c) for c in contents])
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -40,80 +42,45 @@ def repeated_starts(contents: list[bytes], window: int) -> list[np.ndarray]:
     return [found[a:b] - s for a, b, s in zip(bounds, np.append(bounds[1:], len(found)), starts)]
 
 
-def shard_spans(rows, window: int):
-    """Spans of documents from (doc_id, tk, start, content) rows of whole anchors."""
-    for (doc_id, tk, start, _), at in zip(rows, repeated_starts([r[3] for r in rows], window)):
-        if len(at):
-            new = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-            last = np.append(new[1:], len(at)) - 1
-            for s, e in zip(at[new].tolist(), at[last].tolist()):
-                yield doc_id, tk, start + s, start + e + window
-
-
-def sharded(own: DataFrame, window: int) -> DataFrame:
-    """Spans from suffix arrays over shards, each of which holds all contexts of its anchors."""
-
-    def run(batches):
-        def spans():
-            rows, size, anchor, known = [], 0, None, None
-            for batch in batches:
-                for a, c1, c2, doc_id, tk, start, content in zip(*(c.to_pylist() for c in batch.columns)):
-                    if a != anchor and size >= SHARD:
-                        yield from shard_spans(rows, window)
-                        rows, size = [], 0
-                    if (a, c1, c2) != known:  # repeated rows give a context more than once
-                        rows.append((doc_id, tk, start, content))
-                        size += len(content)
-                    anchor, known = a, (a, c1, c2)
-            if rows:
-                yield from shard_spans(rows, window)
-
-        yield from record_batches(spans(), SPAN, 20_000)
-
-    by_anchor = own.select("anchor", "c1", "c2", "doc_id", "tk", "start", "content").repartition("anchor")
-    return by_anchor.sortWithinPartitions("anchor", "c1", "c2").mapInArrow(run, SPAN_SQL)
-
-
-def by_windows(own: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with any number of contexts: one row per window, grouped by 128 bits of hash."""
+def by_windows(mixed: DataFrame, window: int) -> DataFrame:
+    """Spans for anchors with any number of contexts: one row per window, grouped by 128 bits of hash."""
 
     def run(batches):
         first, second = Rolling(4), Rolling(5)
         for batch in batches:
-            doc_ids, keys = batch.column(0), batch.column(1)
-            for i, (start, content) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            doc_ids = batch.column(0)
+            for i, (p, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 data = np.frombuffer(content, np.uint8)
                 w1, w2 = (r.windows(r.sums(r.table[data]), window).view(np.int64) for r in (first, second))
-                at = pa.array(np.full(len(w1), i))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1), pa.array(w2), doc_ids.take(at), keys.take(at), pa.array(np.arange(len(w1)) + start)],
-                    ["w1", "w2", "doc_id", "tk", "start"],
+                    [pa.array(w1), pa.array(w2), doc_ids.take(pa.array(np.full(len(w1), i))), pa.array(np.arange(len(w1)) + p)],
+                    ["w1", "w2", "doc_id", "p"],
                 )
 
-    windows = own.select("doc_id", "tk", "start", "content").mapInArrow(
-        run, "w1 long, w2 long, doc_id long, tk long, start long"
-    )
+    windows = mixed.select("doc_id", "p", "content").mapInArrow(run, "w1 long, w2 long, doc_id long, p long")
     again = windows.groupBy("w1", "w2").agg(F.min(position()).alias("a"), F.max(position()).alias("b"))
     again = again.where(~F.col("a").eqNullSafe(F.col("b"))).select("w1", "w2")
-    s = F.col("start")
-    return windows.join(again, ["w1", "w2"]).select("doc_id", "tk", s.alias("s"), (s + window).alias("e"))
-
-
-def repeated_bytes(docs: DataFrame, window: int = 200, bits: int = BITS, many: int = MANY) -> DataFrame:
-    """Spans (doc_id, tk, s, e) of bytes covered by a string of `window` bytes that also starts elsewhere."""
-    kind, sketch = Kind(words=False, window=window, k=max(1, window // 4 - 2)), Sketch(bits)
-    found = written(runs(docs, kind, sketch, count_min(docs, kind, sketch)))
-    known, own = contexts(found)
-    again = found.join(known.where(~F.col("first").eqNullSafe(F.col("last"))).select("c1", "c2"), ["c1", "c2"]).select(
-        "doc_id",
-        "tk",
-        F.col("start").cast("long").alias("s"),
-        (F.col("start") + F.col("n") + F.lit(window - 1)).cast("long").alias("e"),
-    )
-    own = own.select("anchor", "c1", "c2", "doc_id", "tk", F.col("start").cast("long").alias("start"), "content", "n_contexts")
-    own = written(own)
-    few = sharded(own.where(F.col("n_contexts") <= many), window)
-    return again.unionByName(few).unionByName(by_windows(own.where(F.col("n_contexts") > many), window))
+    return windows.join(again, ["w1", "w2"]).select(*spans(F.lit(0), F.lit(window)))
+
+
+def repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, bits: int = BITS, many: int = MANY) -> DataFrame:
+    """Spans (doc_id, t, s, e) of bytes covered by a string of `window` bytes that also starts elsewhere."""
+    kind, sketch = Kind(words=False, window=window, k=max(1, window // 6)), Sketch(bits)
+    found = scratch.write(runs(docs, kind, sketch, count_min(docs, kind, sketch)))
+    known = scratch.write(contexts(found))
+    scratch.free()
+    again = found.join(known.where("again").select("c1", "c2"), ["c1", "c2"])
+    again = scratch.write(again.select(*spans(F.lit(0), F.col("n") + (window - 1))))
+    scratch.drop(found)
+    scratch.free()
+    mixed = scratch.write(mixed_runs(docs, kind, known, bits, many))
+    scratch.drop(known)
+    of_shard = lambda doc_id, p, anchor, contents: repeated_starts(contents, window)
+    shared = in_shards(mixed.where(~F.col("many")), of_shard, SHARD, window)
+    shared = scratch.write(shared.unionByName(by_windows(mixed.where("many"), window)))
+    scratch.drop(mixed)
+    scratch.free()
+    return again.unionByName(shared)
 
 
 OUT = pa.schema(
@@ -152,7 +119,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, bits: int = BITS, many: i
 
         yield from record_batches(rows(), OUT, size=lambda r: len(r[4]))
 
-    return removals(docs, repeated_bytes(docs, window, bits, many)).mapInArrow(
+    return removals(docs, repeated_bytes(docs, Scratch(docs.sparkSession), window, bits, many)).mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
