@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from graphloom.plans import graph_queries, text_queries
+
+FOUND = text_queries.FOUND | graph_queries.FOUND
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in FOUND.items() if sql}
