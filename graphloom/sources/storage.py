@@ -94,15 +94,15 @@ class GraphMLStorage(Storage):
             def run(batches):
                 import pyarrow as pa
 
-                row = lambda line: pa.RecordBatch.from_arrays([pa.array([line])], ["value"])
-                yield row('<graphml><graph edgedefault="directed">')  # each file is a document
+                one = lambda line: pa.RecordBatch.from_arrays([pa.array([line])], ["value"])
+                yield one('<graphml><graph edgedefault="directed">')  # each file is a document
                 for batch in batches:
                     lines = []
                     for row in batch.to_pylist():
                         data = "".join(f'<data key="{c}">{escape(str(row[c]))}</data>' for c in columns if row[c] is not None)
                         lines.append(f"<{tag} {' '.join(f'{k}={quoteattr(str(row[v]))}' for k, v in ends)}>{data}</{tag}>".replace("\n", "&#10;"))
                     yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
-                yield row("</graph></graphml>")
+                yield one("</graph></graphml>")
 
             return run
 
