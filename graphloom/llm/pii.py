@@ -216,8 +216,8 @@ def private(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with all their columns, and in place of each span of personal data its kind, as in [EMAIL]."""
-    rows = private_spans(docs).select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "spans").where(F.size("spans") > 0)
-    rows = rows.dropDuplicates(["d", "u"])
+    rows = private_spans(docs).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans"))
+    rows = rows.where(F.size("__spans") > 0).dropDuplicates(["__d", "__t"])
     names = F.array(*(F.lit(f"[{kind.upper()}]") for kind in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -229,7 +229,7 @@ def redact(docs: DataFrame) -> DataFrame:
         )
 
     rest = lambda seen: F.concat(seen["out"], F.substr(F.col("text"), seen["at"] + 1, F.length("text")))
-    key = F.xxhash64("text")
-    joined = docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["d"]) & (key == rows["u"]), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", start, cover, rest))
+    key = F.xxhash64(docs["text"]) == rows["__t"]
+    joined = docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["__d"]) & key, "left")
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, cover, rest))
     return joined.withColumn("text", text).select(*docs.columns)
