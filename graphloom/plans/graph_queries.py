@@ -277,13 +277,13 @@ FOUND = {
     "kg_weak_components": (kg_weak_components, REGIONS),
     "kg_paths_cutoff": (
         kg_paths_cutoff,
-        f"WITH {PLACES_SQL} SELECT src || '>' || dst AS path, 2 AS length FROM places WHERE src LIKE 'S%' UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst, 3 FROM places a JOIN places b ON b.src = a.dst WHERE a.src LIKE 'S%'",
+        f"WITH {PLACES_SQL} SELECT src || '>' || dst AS path, 2::BIGINT AS length FROM places WHERE src LIKE 'S%' UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst, 3 FROM places a JOIN places b ON b.src = a.dst WHERE a.src LIKE 'S%'",
     ),
     "kg_bfs_shortest": (
         kg_bfs_shortest,
-        f"WITH {PLACES_SQL} SELECT id AS start, id, 0 AS hops FROM things WHERE type = 'PERSON' UNION ALL SELECT src, dst, 1 FROM places WHERE src LIKE 'C%' UNION ALL SELECT a.src, b.dst, 2 FROM places a JOIN places b ON b.src = a.dst WHERE a.src LIKE 'C%'",
+        f"WITH {PLACES_SQL} SELECT id AS start, id, 0::BIGINT AS hops FROM things WHERE type = 'PERSON' UNION ALL SELECT src, dst, 1 FROM places WHERE src LIKE 'C%' UNION ALL SELECT a.src, b.dst, 2 FROM places a JOIN places b ON b.src = a.dst WHERE a.src LIKE 'C%'",
     ),
-    "kg_multi_hop": (kg_multi_hop, f'WITH {PLACES_SQL} SELECT a.src AS start, b.dst AS "end", 2 AS hops FROM places a JOIN places b ON b.src = a.dst'),
+    "kg_multi_hop": (kg_multi_hop, f'WITH {PLACES_SQL} SELECT a.src AS start, b.dst AS "end", 2::BIGINT AS hops FROM places a JOIN places b ON b.src = a.dst'),
     "kg_rule_inference": (
         kg_rule_inference,
         "SELECT DISTINCT 'P' || l_partkey AS src, 'C' || o_custkey AS dst, 'part_of' AS predicate, 'transitivity' AS rule FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
