@@ -18,7 +18,7 @@ from graphloom.llm.pretokens import Known
 
 WORD = re.compile(r"\w+")
 #: Most labelled rows that a fit takes, of either class, and the most characters that it reads of all.
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 4000, 8000, 64_000_000
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 3000, 6000, 32_000_000
 #: Words in a window, bytes in a dictionary.
 WINDOW, DICTIONARY = 12, 1 << 15
 CODE, PREFIXES = 8, (3, 5)
@@ -105,21 +105,38 @@ def features(found: list[int]) -> tuple[float, ...]:
     return float(top[0]), sum(top) / 3, math.log1p(high), math.log1p(len(found))
 
 
-def raw_dictionary(samples: list[list[str]], first: list[str], size: int, without=()) -> bytes:
+def raw_dictionary(counts: Counter, first: list[str], size: int, without=()) -> bytes:
     """Content for a dictionary: units that tell its class, then the most frequent ones that don't tell the other;
     the best come last, where zstandard reaches them at the least cost."""
-    counts = Counter(u for words in samples for w in words for u in units(w))
     best = dict.fromkeys(first) | dict.fromkeys(u for u, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])))
     chosen = [u for u in best if u not in without][: size // CODE]
     return b"".join(hashlib.blake2b(u.encode(), digest_size=CODE).digest() for u in reversed(chosen))
 
 
-def telling_units(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
-    """Units that stand in more places of toxic text than of ordinary text, beyond chance, the surest first. A place
-    is a word with the one behind it, counted once, so that copies of a document count as one."""
-    places = [{p for d in docs for p in zip(d, [*d[1:], ""])} for docs in (toxic, ordinary)]
-    a, b = (Counter(u for w, _ in found for u in units(w)) for found in places)
-    n, m, out = len(places[0]), len(places[1]), []
+def unit_counts(vocabulary: list[str], times: np.ndarray) -> Counter:
+    """How often each unit occurs, from how often each word does."""
+    out: Counter = Counter()
+    for i in np.flatnonzero(times).tolist():
+        n = int(times[i])
+        for u in units(vocabulary[i]):
+            out[u] += n
+    return out
+
+
+def places(docs: list[np.ndarray], size: int) -> np.ndarray:
+    """For each word in how many places it stands. A place is a word with the one behind it, counted once, so that
+    copies of a document count as one."""
+    pairs = [d.astype(np.int64) * (size + 1) + np.append(d[1:], size) for d in docs if len(d)]
+    known = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    return np.bincount(known // (size + 1), minlength=size)
+
+
+def telling_units(toxic: list[np.ndarray], ordinary: list[np.ndarray], vocabulary: list[str]) -> list[str]:
+    """Units that stand in more places of toxic text than of ordinary text, beyond chance, the surest first."""
+    times = [places(docs, len(vocabulary)) for docs in (toxic, ordinary)]
+    a, b = (unit_counts(vocabulary, t) for t in times)
+    n, m = (int(t.sum()) for t in times)
+    out = []
     for u, x in a.items():
         if x >= 3:
             y = b[u]
@@ -136,22 +153,25 @@ def train(rows: list[tuple[int, str | None, int]]) -> Model:
     constant = Model(b"", b"", ((share + 1) / (len(rows) + 2),), (), ())
     if share < 10 or len(rows) - share < 10:
         return constant
-    part = [hashlib.blake2b(str(i).encode(), digest_size=8).digest()[0] % 10 < 7 for i, _, _ in rows]
-    words = [words_of(t) for _, t, _ in rows]
-    of = lambda y: [w for w, p, (_, _, label) in zip(words, part, rows) if p and label == y]
-    toxic, ordinary = of(1), of(0)
-    telling = telling_units(toxic, ordinary)
+    made = [i for i, r in enumerate(rows) if hashlib.blake2b(str(r[0]).encode(), digest_size=8).digest()[0] % 10 < 7]
+    ids: dict[str, int] = {}
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(rows[i][1])], np.int32) for i in made]
+    vocabulary = list(ids)
+    del ids
+    of = lambda label: [d for d, i in zip(docs, made) if rows[i][2] == label]
+    telling = telling_units(of(1), of(0), vocabulary)
     if not telling:
         return constant
     # Toxic documents are ordinary text but for a few places: what both kinds have in common stands in both
     # dictionaries alike, or its chance differences would drown what tells toxic text.
-    both = toxic + ordinary
+    both = unit_counts(vocabulary, sum(np.bincount(d, minlength=len(vocabulary)) for d in docs))
     model = Model(raw_dictionary(both, telling, DICTIONARY), raw_dictionary(both, [], DICTIONARY, set(telling)), (), (), ())
+    del both, docs, vocabulary
     if not model.toxic or not model.ordinary:
         return constant
     lengths, codes = (Lengths(model.toxic), Lengths(model.ordinary)), Known(code)
-    held = [i for i, p in enumerate(part) if not p]
-    x = np.array([features(margins(words[i], *lengths, codes)) for i in held])
+    held = sorted(set(range(len(rows))) - set(made))
+    x = np.array([features(margins(words_of(rows[i][1]), *lengths, codes)) for i in held])
     y = np.array([rows[i][2] for i in held], float)
     model.centre, model.scale = tuple(x.mean(0).tolist()), tuple((x.std(0) + 1e-6).tolist())
     model.weights = tuple(logistic((x - model.centre) / model.scale, y).tolist())

@@ -2,7 +2,6 @@
 
 import random
 import re
-from collections import Counter
 
 import numpy as np
 
