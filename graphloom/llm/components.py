@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.repeats import written
+from graphloom.llm.repeats import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(h, label) of the vertices of edges(a, b): the least vertex of each one's component.
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, label) of the vertices of edges(a, b): the least vertex of each one's component, as a table of scratch.
 
     Each round hooks a vertex to the least label around it and then takes the label of its label, which halves
     paths. No component is gathered anywhere.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.distinct())
+    both = scratch.write(both.distinct())
     labels = both.groupBy(F.col("a").alias("h")).agg(F.min("b").alias("least"))
-    labels = written(labels.select("h", F.least("h", "least").alias("label")))
+    labels = scratch.write(labels.select("h", F.col("h").alias("was"), F.least("h", "least").alias("label")))
     while True:
         around = both.join(labels.select(F.col("h").alias("b"), F.col("label").alias("l")), "b")
         around = around.groupBy(F.col("a").alias("h")).agg(F.min("l").alias("l"))
         hooked = labels.join(around, "h").select("h", F.col("label").alias("was"), F.least("label", "l").alias("label"))
         up = hooked.select(F.col("h").alias("label"), F.col("label").alias("up"))
         new = hooked.join(up, "label").select("h", "was", F.least("label", "up").alias("label"))
-        new = written(new)
-        changed = not new.where(~F.col("was").eqNullSafe(F.col("label"))).isEmpty()
-        labels = new.select("h", "label")
-        if not changed:
+        new = scratch.write(new)
+        scratch.drop(labels)
+        labels = new
+        if new.where(F.col("was") != F.col("label")).isEmpty():
+            scratch.drop(both)
             return labels

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import U64, Rolling, mix, raw, word_hashes
 from graphloom.llm.components import components
-from graphloom.llm.repeats import Sketch, bitmap, written
+from graphloom.llm.repeats import Scratch, Sketch, bitmap
 
 #: Words in a shingle, least Jaccard similarity, bands, registers in a band: a pair at the least similarity shares a
 #: band with probability 1 - (1 - 0.8**4)**24 > 0.99999.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
-#: Rounds in which each bucket's classes are compared with one of them.
-ROUNDS = 3
+#: Most texts in a bucket whose classes are all compared, text by text.
+FEW = 64
 CHUNK_DOCS, CHUNK_WORDS = 2048, 1 << 18
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -162,8 +162,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     groups; copies of a text are in one class.
 
     Candidates share a band of a ProbMinHash signature, in which shingles weigh as often as they occur. Copies have
-    one signature and are one row from then on. In a bucket each member is compared with one of them, then each
-    class that remains with one of the classes; no bucket is gathered in one place and none is cut off.
+    one signature and are one row from then on. In a bucket each text is compared with the least one, then with the
+    one of most links, unless they are in one class by then; at last, in buckets of up to FEW texts, all that are
+    still in different classes with one another. So comparisons follow the number of texts in large buckets too; no
+    bucket is gathered in one place and none is cut off.
 
     Words are [^\\x20\\x09-\\x0D]+; fewer than five are one shingle. Texts without words (null is empty) are linked to
     equal texts only. Rows with the same doc_id keep their own class each; a null doc_id sorts first. An empty table
@@ -190,33 +192,51 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h, label) for those texts that have a near-duplicate among other texts."""
+    scratch = Scratch(docs.sparkSession)
     keys = bands(docs).select("h", F.explode("keys").alias("key"))
     ends = keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most")
     # One row for each text and bucket that has others.
-    buckets = written(keys.join(ends.select("key"), "key", "left_semi").distinct())
-    texts = buckets.select("h").distinct()
-    sets = written(shingle_sets(among(docs, texts)).dropDuplicates(["h"]).join(texts, "h", "left_semi"))
-    labels = links = tried = None
-    for _ in range(ROUNDS):
-        if labels is None:
-            members = buckets.withColumn("label", F.col("h"))
-        else:
-            members = buckets.join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
-        # A class in a bucket is one row, by its least member; each is compared with the bucket's least.
-        heads = members.groupBy("key", "label").agg(F.min("h").alias("b"))
-        least = heads.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
-        pairs = heads.join(least, "key").where("a < b").select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if pairs.isEmpty():
-            break
+    buckets = scratch.write(keys.join(ends.select("key"), "key", "left_semi").distinct())
+    texts = scratch.write(buckets.select("h").distinct())
+    sets = scratch.write(shingle_sets(among(docs, texts)).dropDuplicates(["h"]).join(texts, "h", "left_semi"))
+    scratch.free()
+    labels = scratch.write(texts.withColumn("label", F.col("h")))
+    links = tried = None
+    for candidates in (least_members, linked_members, all_members):
+        pairs = candidates(buckets.join(labels, "h"), links)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(verified(pairs, sets, similarity))
-        if new.isEmpty():
-            continue
+        new = scratch.write(verified(pairs, sets, similarity))
         links = new if links is None else links.unionByName(new)
-        labels = written(components(links))
-    if labels is None:
-        labels = texts.limit(0).withColumn("label", F.col("h"))
+        found = components(links, scratch)
+        new = scratch.write(texts.join(found, "h", "left").select("h", F.coalesce("label", "h").alias("label")))
+        scratch.drop(labels, found)
+        labels = new
+    scratch.clear(labels)
+    scratch.free()
     return labels
+
+
+def least_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of each text of members(h, key, label) with the least of its bucket."""
+    least = members.groupBy("key").agg(F.min("h").alias("a"))
+    return members.select("key", F.col("h").alias("b")).join(least, "key").where("a <> b")
+
+
+def linked_members(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of each text with the one of most links in its bucket, if they are in different classes: where copies of
+    one text were changed here and there, that is the text in their middle."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    known = members.join(ends, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    most = known.groupBy("key").agg(F.max(F.struct("n", "h", "label")).alias("m"))
+    pairs = members.join(most, "key").where(F.col("label") != F.col("m.label"))
+    return pairs.select(F.col("m.h").alias("a"), F.col("h").alias("b"))
+
+
+def all_members(members: DataFrame, links: DataFrame) -> DataFrame:
+    """All pairs of different classes in buckets of up to FEW texts: FEW - 1 for each text at most."""
+    few = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    own = members.join(few.where((F.col("n") <= FEW) & (F.col("x") != F.col("y"))).select("key"), "key")
+    other = own.select("key", F.col("h").alias("b"), F.col("label").alias("l"))
+    return own.join(other, "key").where((F.col("h") < F.col("b")) & (F.col("label") != F.col("l"))).select(F.col("h").alias("a"), "b")

@@ -169,7 +169,9 @@ def discovered(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
         )
         scores = scratch.write(scores)
     new = links.where("seed = 0").join(scores.where(F.col("score") >= ACCEPT), "id")
-    return scratch.write(new.select("doc_id", "t", "start", "k", "end", "value").distinct())
+    new = scratch.write(new.select("doc_id", "t", "start", "k", "end", "value").distinct())
+    scratch.clear(found, new)
+    return new
 
 
 def written_spans(column: str) -> Column:

@@ -285,6 +285,10 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(x))[0])
             path.getFileSystem(conf).delete(path, True)
 
+    def clear(self, *kept: DataFrame) -> None:
+        """Drops all but the given tables."""
+        self.drop(*(x for _, x in list(self.paths.values()) if all(x is not k for k in kept)))
+
     def free(self) -> None:
         """Lets Spark remove the shuffle files of plans that are out of use."""
         gc.collect()
