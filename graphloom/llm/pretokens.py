@@ -21,7 +21,7 @@ LATIN = re.compile(
 GAP = re.compile("[\t-\r ]")
 #: Characters at which str.split() cuts and the tokenizer doesn't.
 NO_GAP = re.compile("[\x1c-\x1f]")
-PIECE, CACHE, LONG = 1 << 20, 1 << 20, 256
+PIECE, CACHE, LONG = 1 << 20, 1 << 19, 256
 
 
 class Known(dict):
