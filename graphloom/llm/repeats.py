@@ -315,44 +315,36 @@ MIXED = RUNS + ", content binary, many boolean"
 
 def mixed_runs(docs: DataFrame, kind: Kind, known: DataFrame, bits: int, many: int) -> DataFrame:
     """Of each context whose anchor has several, the first occurrence, as in runs(), with its content (bytes, or for
-    words the windows' hashes, 8 bytes each) and whether the anchor has more than `many` contexts. Other occurrences
-    may come with them, as the places are looked up in a bitmap of fixed size."""
+    words the windows' hashes, 8 bytes each) and whether the anchor has more than `many` contexts, which is decided
+    exactly, so that all rows of an anchor go one way. Other occurrences may come with them, as the places are looked
+    up in a bitmap of fixed size."""
     several = known.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    firsts = known.join(several, "anchor").select(
-        "c1", F.col("first.doc_id").alias("doc_id"), F.col("first.p").alias("p"), F.col("n") > many
-    )
-    of_few, of_many = Sketch(bits), Sketch(bits - 3)
-    hashes = lambda large: lambda b: occurrence_hash(
-        *(x if i == 1 else x.to_numpy() for i, x in enumerate(b.filter(b.column(3) if large else invert(b.column(3))).columns[:3]))
-    )
-    spark = docs.sparkSession
-    maps = spark.sparkContext.broadcast((bitmap(firsts, of_few, hashes(False)), bitmap(firsts, of_many, hashes(True))))
+    firsts = known.join(several, "anchor").select("c1", F.col("first.doc_id").alias("doc_id"), F.col("first.p").alias("p"))
+    present = Sketch(bits)
+    hashes = lambda b: occurrence_hash(b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy())
+    # One in `many` of the contexts at most.
+    large = several.where(F.col("n") > many).select("anchor").toLocalIterator()
+    large = np.sort(np.fromiter((r[0] for r in large), np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap(firsts, present, hashes), large))
     schema = schema_of(MIXED)
 
     def cut(batches):
-        cutter, large = Cutter(kind), None
-
-        def wanted(anchor, c1, owners, p):
-            nonlocal large
-            at = occurrence_hash(c1, owners, p)
-            large = of_many.may_repeat(maps.value[1], at)
-            return np.flatnonzero(of_few.may_repeat(maps.value[0], at) | large)
-
-        for columns, keep, (start, end, n), (second, data) in cut_runs(batches, cutter, wanted):
+        cutter = Cutter(kind)
+        wanted = lambda anchor, c1, owners, p: np.flatnonzero(
+            present.may_repeat(shared.value[0], occurrence_hash(c1, owners, p))
+        )
+        for columns, _, (start, end, n), (second, data) in cut_runs(batches, cutter, wanted):
             if data is None:
                 windows = cutter.second.windows(second, kind.window)
                 content = ranges_of(windows.view(np.uint8), 8 * start, 8 * n)
             else:
                 content = ranges_of(data, start, end - start)
-            yield pa.RecordBatch.from_arrays([*columns, content, pa.array(large[keep])], schema=schema)
+            of_large = np.isin(columns[0].to_numpy(), shared.value[1])
+            yield pa.RecordBatch.from_arrays([*columns, content, pa.array(of_large)], schema=schema)
 
     return keyed(docs).mapInArrow(cut, MIXED)
 
 
-def invert(column: pa.Array) -> pa.Array:
-    return pa.array(~column.to_numpy(zero_copy_only=False))
-
-
 SPANS = "doc_id long, t long, s long, e long"
 
 

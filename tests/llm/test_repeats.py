@@ -83,6 +83,21 @@ def test_bytes_odd(odd, empty):
     assert suffix_dedup.remove_repeats(empty, bits=16).count() == 0
 
 
+def test_large_and_small_anchors(make):
+    """Passages in two surroundings each beside one in many: with few counters the places of both kinds collide."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    passage = lambda n: " ".join(word() for _ in range(n))
+    common, small = passage(7), [passage(7) for _ in range(40)]
+    texts = [f"{passage(8)} {common} {passage(8)}" for _ in range(40)]
+    texts += [f"{passage(8)} {s} {passage(8)}" for s in small for _ in range(2)]
+    docs = make(texts)
+    got = substring_dedup.digest(substring_dedup.remove_repeats(docs, 6, bits=9, many=8)).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_words(some(docs), 6))
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(docs, 40, bits=9, many=8)).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_bytes(some(docs), 40))
+
+
 def test_suffix_arrays():
     rng = random.Random(1)
     for _ in range(150):
