@@ -1,4 +1,4 @@
-"""Near-duplicates with ProbMinHash over weighted word shingles, banding and exact verification."""
+"""Near-duplicates with ProbMinHash over sets of word shingles, banding and exact verification."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from graphloom.llm.common import U64, Rolling, mix, raw, word_hashes
 from graphloom.llm.components import components
 from graphloom.llm.repeats import Scratch, Sketch, bitmap
 
-#: Words in a shingle, least Jaccard similarity, bands, registers in a band: a pair at the least similarity shares a
+#: Words in a shingle, least Jaccard similarity, bands, registers in a band: each shingle of a text has weight 1, so
+#: that registers agree with the probability of the very similarity that decides, and a pair at the least one shares a
 #: band with probability 1 - (1 - 0.8**4)**24 > 0.99999.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 #: Most texts in a bucket whose classes are all compared, text by text.
@@ -96,8 +97,8 @@ def bands(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            for lo, n, doc, shingle, weight in shingler.weighted(batch.column(1)):
-                signature = prob_min_hash(doc, shingle, weight.astype(float), n, n_bands * rows)
+            for lo, n, doc, shingle, _ in shingler.weighted(batch.column(1)):
+                signature = prob_min_hash(doc, shingle, np.ones(len(doc)), n, n_bands * rows)
                 keys = np.zeros((n, n_bands), U64)
                 for r in range(rows):
                     keys = mix(keys * U64(GOLDEN) + signature[:, r::rows])
@@ -161,7 +162,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     the Jaccard similarity of their sets of word shingles is `similarity` or more, and classes are the connected
     groups; copies of a text are in one class.
 
-    Candidates share a band of a ProbMinHash signature, in which shingles weigh as often as they occur. Copies have
+    Candidates share a band of a ProbMinHash signature, in which all shingles of a text weigh the same. Copies have
     one signature and are one row from then on. In a bucket each text is compared with the least one, then with the
     one of most links, unless they are in one class by then; at last, in buckets of up to FEW texts, all that are
     still in different classes with one another. So comparisons follow the number of texts in large buckets too; no

@@ -54,6 +54,17 @@ def test_classes(make, corpus):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in plain_classes(rows)})
 
 
+def test_classes_with_repeated_shingles(make):
+    """Equal sets of shingles, which one text of each pair repeats hundreds of times."""
+    rng, texts = random.Random(8), []
+    for i in range(12):
+        words = [f"r{i}x{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(words + words[:1] * n + words[:5]) for n in (5, 2000)]
+    docs = make(texts)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(map(tuple, classes(docs).collect()), key=str) == plain_classes(rows)
+
+
 def test_classes_odd(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(map(tuple, classes(odd).collect()), key=str) == plain_classes(rows)
