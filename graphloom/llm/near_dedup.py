@@ -15,8 +15,10 @@ from graphloom.llm.repeats import Scratch, Sketch, bitmap
 #: that registers agree with the probability of the very similarity that decides, and a pair at the least one shares a
 #: band with probability 1 - (1 - 0.8**4)**24 > 0.99999.
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
-#: Most texts in a bucket whose classes are all compared, text by text.
+#: Most texts in a bucket whose classes are all compared, text by text; larger ones are joined by rare shingles.
 FEW = 64
+#: Counters of shingles that rank them by how rare they are.
+RANKS = 1 << 18
 CHUNK_DOCS, CHUNK_WORDS = 2048, 1 << 18
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -165,8 +167,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Candidates share a band of a ProbMinHash signature, in which all shingles of a text weigh the same. Copies have
     one signature and are one row from then on. In a bucket each text is compared with the least one, then with the
     one of most links, unless they are in one class by then; at last, in buckets of up to FEW texts, all that are
-    still in different classes with one another. So comparisons follow the number of texts in large buckets too; no
-    bucket is gathered in one place and none is cut off.
+    still in different classes with one another, and in larger ones those of them that share a rare shingle, without
+    which no two texts are similar enough; see rare_pairs(). No bucket is gathered in one place and none is cut off.
 
     Words are [^\\x20\\x09-\\x0D]+; fewer than five are one shingle. Texts without words (null is empty) are linked to
     equal texts only. Rows with the same doc_id keep their own class each; a null doc_id sorts first. An empty table
@@ -204,7 +206,12 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels = scratch.write(texts.withColumn("label", F.col("h")))
     links = tried = None
     for candidates in (least_members, linked_members, all_members):
-        pairs = candidates(buckets.join(labels, "h"), links)
+        members = buckets.join(labels, "h")
+        pairs = candidates(members, links)
+        if candidates is all_members:
+            large = scratch.write(large_members(members))
+            if not large.isEmpty():
+                pairs = pairs.unionByName(rare_pairs(large, sets, similarity, scratch))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -241,3 +248,83 @@ def all_members(members: DataFrame, links: DataFrame) -> DataFrame:
     own = members.join(few.where((F.col("n") <= FEW) & (F.col("x") != F.col("y"))).select("key"), "key")
     other = own.select("key", F.col("h").alias("b"), F.col("label").alias("l"))
     return own.join(other, "key").where((F.col("h") < F.col("b")) & (F.col("label") != F.col("l"))).select(F.col("h").alias("a"), "b")
+
+
+def large_members(members: DataFrame) -> DataFrame:
+    """(h, label) of the texts in buckets of more than FEW texts that hold different classes."""
+    many = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    many = many.where((F.col("n") > FEW) & (F.col("x") != F.col("y"))).select("key")
+    return members.join(many, "key", "left_semi").select("h", "label").distinct()
+
+
+def shingle_ranks(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each of RANKS counters occur, about the number of texts that hold one."""
+
+    def count(batches):
+        times = np.zeros(RANKS, np.int64)
+        for batch in batches:
+            times += np.bincount(place(batch.column(0).flatten().to_numpy().view(U64)), minlength=RANKS)
+        at = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(times[at])], ["at", "times"])
+
+    found = sets.select("shingles").mapInArrow(count, "at long, times long").groupBy("at").agg(F.sum("times").alias("times"))
+    out, found = np.zeros(RANKS, np.int64), found.toArrow()
+    out[found["at"].to_numpy()] = found["times"].to_numpy()
+    return out
+
+
+def place(shingle: np.ndarray) -> np.ndarray:
+    return (mix(shingle) % U64(RANKS)).astype(np.int64)
+
+
+def rare_pairs(texts: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of texts(h, label) of different classes that may be similar enough, by an exact prefix filter.
+
+    Shingles are in one order for all texts, the rarer first. Two sets of that similarity share so many shingles that
+    they share one among the first of each: those that remain of a set once all but one of the least number of shared
+    ones are taken off its end. For the smaller set that number is higher, and the first shared shingle can't stand
+    further on than leaves room for the others. Shingles of one class only are left out, and of each other one pairs
+    within its largest class are never formed.
+    """
+    own = scratch.write(sets.join(texts, "h"))
+    shared = sets.sparkSession.sparkContext.broadcast(shingle_ranks(own))
+
+    def least(size, share):
+        return np.ceil(share * size - 1e-6).astype(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            shingle, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((shingle, shared.value[place(shingle.view(U64))], doc))
+            doc, shingle = doc[order], shingle[order]
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+            first = at <= (size - least(size, similarity))[doc]
+            smaller = at <= (size - least(size, 2 * similarity / (1 + similarity)))[doc]
+            keep = np.flatnonzero(first)
+            rows = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(shingle[keep]), pa.array(at[keep]),
+                    pa.array(size[doc[keep]].astype(np.int64)), pa.array(smaller[keep]),
+                ],
+                ["h", "label", "s", "at", "size", "smaller"],
+            )
+
+    found = own.select("h", "label", "shingles").mapInArrow(run, "h binary, label binary, s long, at long, size long, smaller boolean")
+    found = scratch.write(found)
+    tops = found.groupBy("s", "label").agg(F.count("*").alias("n")).groupBy("s").agg(
+        F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("classes")
+    )
+    found = scratch.write(found.join(tops.where("classes > 1").select("s", "top"), "s").withColumn("other", F.col("label") != F.col("top")))
+    x = found.where("smaller").select("s", *(F.col(c).alias(f"x_{c}") for c in ("h", "label", "at", "size", "other")))
+    y = found.select("s", *(F.col(c).alias(f"y_{c}") for c in ("h", "label", "at", "size", "other")))
+    room = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
+    able = (
+        (F.col("x_label") != F.col("y_label")) & (F.col("x_size") <= F.col("y_size"))
+        & (F.col("x_size") >= F.lit(similarity) * F.col("y_size") - 1e-6)
+        & (room >= F.lit(similarity / (1 + similarity)) * (F.col("x_size") + F.col("y_size")) - 1e-6)
+    )
+    pairs = lambda x, y: x.join(y, "s").where(able).select(F.col("x_h").alias("a"), F.col("y_h").alias("b"))
+    return pairs(x.where("x_other"), y).unionByName(pairs(x.where(~F.col("x_other")), y.where("y_other"))).distinct()

@@ -65,6 +65,17 @@ def test_classes_with_repeated_shingles(make):
     assert sorted(map(tuple, classes(docs).collect()), key=str) == plain_classes(rows)
 
 
+def test_classes_on_one_template(make):
+    """Texts on a template, not quite similar enough to each other, in pairs that are."""
+    template = [f"t{i}" for i in range(200)]
+    ends = [[f"p{i // 2}a", f"p{i // 2}b", *(f"o{i}x{j}" for j in range(23))] for i in range(240)]
+    docs = make([" ".join(template + end) for end in ends])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = plain_classes(rows)
+    assert len({c for _, c in expected}) == 120
+    assert sorted(map(tuple, classes(docs).collect()), key=str) == expected
+
+
 def test_classes_odd(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(map(tuple, classes(odd).collect()), key=str) == plain_classes(rows)
