@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import record_batches
@@ -19,6 +19,8 @@ from graphloom.llm.pretokens import Known
 WORD = re.compile(r"\w+")
 #: Most labelled rows that a fit takes, of either class, and the most characters that it reads of all.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 3000, 6000, 32_000_000
+#: The most that a model says of any text that had too little to learn from: it predicts nothing to be toxic.
+UNTRAINED = 0.25
 #: Words in a window, bytes in a dictionary.
 WINDOW, DICTIONARY = 12, 1 << 15
 CODE, PREFIXES = 8, (3, 5)
@@ -148,9 +150,10 @@ def telling_units(toxic: list[np.ndarray], ordinary: list[np.ndarray], vocabular
 
 
 def train(rows: list[tuple[int, str | None, int]]) -> Model:
-    """From (doc_id, text, toxic). Seven tenths of the rows make the dictionaries, the others the calibration."""
+    """From (doc_id, text, toxic). Seven tenths of the rows make the dictionaries, the others the calibration. Rows that
+    don't tell the classes apart give a constant, by which no text is toxic."""
     share = sum(y for _, _, y in rows)
-    constant = Model(b"", b"", ((share + 1) / (len(rows) + 2),), (), ())
+    constant = Model(b"", b"", (min((share + 1) / (len(rows) + 2), UNTRAINED),), (), ())
     if share < 10 or len(rows) - share < 10:
         return constant
     made = [i for i, r in enumerate(rows) if hashlib.blake2b(str(r[0]).encode(), digest_size=8).digest()[0] % 10 < 7]
@@ -198,22 +201,38 @@ def held_out():
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from a bounded sample of the labelled rows that are not held out: at most FIT_TOXIC and FIT_ORDINARY
-    rows, those with the least hashes, and FIT_CHARS characters."""
+    rows, those with the least hashes, and FIT_CHARS characters. Where they have more, the longest texts are read as
+    far as the limit that all of them fit under, wherever they are stored; repeated rows count once."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = by_hash(1, FIT_TOXIC).unionByName(by_hash(0, FIT_ORDINARY))
-    # At most FIT_TOXIC + FIT_ORDINARY ids, so their size is bounded.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    rows, chars = [], 0
-    for r in texts.toLocalIterator():
-        if (chars := chars + len(r.text or "")) > FIT_CHARS:
-            break
-        rows.append((r.doc_id, r.text, r.toxic))
+    # At most FIT_TOXIC + FIT_ORDINARY ids, so their size is bounded; of texts that share one, so many as well.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    known = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "t", "toxic").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "t"))
+    known = known.withColumn("place", place).where(F.col("place") <= max(FIT_TOXIC, FIT_ORDINARY))
+    sizes = known.where(F.col("place") <= F.when(F.col("toxic") == 1, FIT_TOXIC).otherwise(FIT_ORDINARY)).collect()
+    if not sizes:
+        return train([])
+    most = longest([r.n for r in sizes], FIT_CHARS)
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.t, r.toxic) for r in sizes], "doc_id long, t long, toxic int")
+    rows = texts.join(F.broadcast(wanted), ["doc_id", "t"]).select("doc_id", "t", F.substring("text", 1, most).alias("text"), "toxic")
+    rows = [(r.doc_id, r.text, r.toxic) for r in rows.dropDuplicates(["doc_id", "t"]).toLocalIterator()]
     return train(sorted(rows, key=lambda r: (r[0], r[2], r[1] or "")))
 
 
+def longest(lengths: list[int], total: int) -> int:
+    """The greatest limit under which the lengths, none counted beyond it, have at most that total."""
+    left, rest = total, sorted(lengths)
+    for i, n in enumerate(rest):
+        if n * (len(rest) - i) > left:
+            return left // (len(rest) - i)
+        left -= n
+    return max(rest)
+
+
 ROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
 

@@ -111,6 +111,27 @@ def test_toxicity_held_out(spark, make, odd, empty):
     assert toxicity.score(docs, constant).select("score").distinct().count() == 1
 
 
+def test_toxicity_without_rows_to_learn_from(spark, make):
+    docs = make([t for _, t, _ in labelled(30)])
+    for labels in ([], [(900 + i, i % 2) for i in range(90)], [(i, 1) for i in range(30)]):
+        model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert toxicity.keep_clean(docs, model).count() == 30
+
+
+def test_toxicity_with_a_long_text_in_front(spark, make, monkeypatch):
+    """A labelled text longer than all that a fit reads takes no other's place."""
+    rows = labelled(400)
+    size = sum(len(t) for _, t, _ in rows)
+    monkeypatch.setattr(toxicity, "FIT_CHARS", size + 20_000)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    at = next(i for i, _, y in rows if not y and zlib.crc32(str(i).encode()) % 5)
+    texts = [t + " ka lo" * size if i == at else t for i, t, _ in rows]
+    order = [at, *(i for i in range(400) if i != at)]
+    front, back = (toxicity.fit(make([texts[i] for i in o], o), labels) for o in (order, order[::-1]))
+    assert front == back and front.toxic
+    assert toxicity.longest([5, 1, 100, 7], 33) == 20 and toxicity.longest([5, 1], 33) == 5
+
+
 def test_labels_never_seen(spark, make):
     """Labels of held-out rows don't change a model."""
     rows = labelled(300)
