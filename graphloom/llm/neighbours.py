@@ -97,7 +97,7 @@ class Searcher:
         return ids[best], np.sqrt(squares[best])
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, q long, vec_id long, score double"
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
@@ -105,13 +105,14 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     Euclidean distance: query_id, rank (from 1), vec_id, score. Ties go to the smaller vec_id.
 
     Vectors lie in shards by a hash of their ids, whatever their values, and queries come in blocks; each shard
-    searches each block, and the best of all shards count. Of equal vectors the k + 1 with the least ids are kept,
-    which is decided before the shuffle, so that no result is lost and no group of copies is gathered.
+    searches each block, and the best of all shards count. Repeated rows go first; of equal vectors the k + 1 with the
+    least ids are kept, which is decided before the shuffle, so that no result is lost and no group of copies is
+    gathered.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without a vec_id;
     vectors of another length than the query's aren't candidates. A query with fewer candidates gets all of them.
-    Rows that share a query's vec_id aren't its candidates; repeated rows count once. An empty table gives an empty
-    table; other columns are not read.
+    Rows that share a query's vec_id aren't its candidates; repeated rows count once, and different vectors that share
+    a vec_id are queries and candidates of their own. An empty table gives an empty table; other columns are not read.
     """
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
@@ -119,8 +120,10 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     rows = rows.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(F.coalesce(fine, F.lit(False)))
     rows = rows.withColumn("size", F.size("embedding"))
     copies = Window.partitionBy("embedding").orderBy("vec_id")
-    points = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    points = rows.dropDuplicates(["vec_id", "embedding"])
+    points = points.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "embedding"])
+    queries = queries.withColumn("q", F.xxhash64("embedding"))
     n = rows.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n // (every * BLOCK)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -130,14 +133,13 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(asked):
-            own = own.drop_duplicates("vec_id") if not own["vec_id"].is_unique else own
             searcher = Searcher(own["vec_id"].to_numpy(), np.stack(own["embedding"].to_numpy()).astype(float))
-            for query_id, q in zip(asked["vec_id"], asked["embedding"]):
-                ids, scores = searcher.nearest(query_id, np.asarray(q, float), k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            for query_id, q, vector in zip(asked["vec_id"], asked["q"], asked["embedding"]):
+                ids, scores = searcher.nearest(query_id, np.asarray(vector, float), k)
+                out.append(pd.DataFrame({"query_id": query_id, "q": q, "vec_id": ids, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []})
 
     keys = ["shard", "block", "size"]
     found = points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, FOUND)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = Window.partitionBy("query_id", "q").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -153,6 +153,22 @@ def test_nearest(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 8)).tolist()
+    rows = [(100 + i, x[0]) for i in range(12)] * 2 + [(300, x[1])] * 11 + [(301, x[1])] + [(400 + i, v) for i, v in enumerate(x[2:30])]
+    rows += [(1001 + i // 2, v) for i, v in enumerate(x[30:])]  # two vectors to a vec_id
+    rows += [(500, x[50]), (500, x[55])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in nearest(df).collect())
+    points, expected = sorted({(i, tuple(np.float32(v).tolist())) for i, v in rows}), []
+    for i, q in points:
+        if i % 100 == 0:
+            far = sorted((float(np.linalg.norm(np.subtract(v, q))), j) for j, v in points if j != i)
+            expected += [(i, n, j, round(d, 9)) for n, (d, j) in enumerate(far[:10], 1)]
+    assert got == sorted(expected)
+
+
 def test_chi_square():
     assert abs(chi_square_bound(8, 0.95) - 15.507) < 1e-2 and abs(chi_square_bound(2, 0.5) - 2 * np.log(2)) < 1e-6
     own = np.random.default_rng(0).standard_normal((500, 64))
