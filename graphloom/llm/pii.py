@@ -137,10 +137,11 @@ def discovered(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     """Spans (doc_id, t, start, k, end, value) that only their context tells, or None without any candidate.
 
     The base spans are seeds. A lexical pattern is a word to the left or right of a span of one kind. Its score is
-    the sum of the scores of its instances over the number of times that its word occurs at all, so that common
-    words tell nothing; an instance has score 1 as a seed, else that of its patterns together. Scores go back and
-    forth along this graph of patterns and instances for a few rounds. All tables follow the number of spans, but
-    for the counts of words, which are summed before they are shuffled.
+    the sum of the scores of its accepted instances over the number of times that its word occurs at all, so that
+    common words tell nothing; loose spans that aren't accepted speak neither for nor against it. An instance has
+    score 1 as a seed, else that of its patterns together, and is accepted from ACCEPT on. Each round makes its
+    patterns anew from seeds and discoveries, so that a discovery's other word can lead to further ones. All tables
+    follow the number of spans, but for the counts of words, which are summed before they are shuffled.
     """
     one = lambda column, seed: found.select("doc_id", "t", F.explode(column).alias("s"), F.lit(seed).alias("seed"))
     instances = one("base", 1.0).unionByName(one("loose", 0.0)).distinct()
@@ -152,20 +153,26 @@ def discovered(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     )
     links = instances.withColumn("id", F.xxhash64("doc_id", "t", "start", "k", "end")).select("*", sides.alias("p"))
     links = links.select("doc_id", "t", "start", "k", "end", "value", "seed", "id", "p.side", "p.word").where("word <> ''")
-    # Patterns without enough seeds can't become telling in the first round, and so never.
-    seeded = links.where("seed > 0").groupBy("k", "side", "word").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).drop("n")
-    links = scratch.write(links.join(seeded, ["k", "side", "word"]))
+    # A pattern of fewer different values can't get the support in any round.
+    able = links.groupBy("k", "side", "word").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= SUPPORT).drop("n")
+    links = scratch.write(links.join(able, ["k", "side", "word"]))
     words = links.select("word").distinct()
     counts = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), WORD)).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
     links = scratch.write(links.join(counts.join(words, "word", "left_semi"), "word"))
-    scores = links.select("id", F.col("seed").alias("score")).distinct()
+    scores = links.where("seed > 0").select("id", F.col("seed").alias("score")).distinct()
     for _ in range(ROUNDS):
-        patterns = links.join(scores, "id").groupBy("k", "side", "word").agg(
-            F.least(F.sum("score") / F.max("times"), F.lit(0.99)).alias("pattern"), F.countDistinct(F.when(F.col("score") > 0.5, F.col("value"))).alias("support")
-        )
-        patterns = patterns.where((F.col("pattern") >= PATTERN) & (F.col("support") >= SUPPORT)).drop("support")
-        scores = links.join(patterns, ["k", "side", "word"]).groupBy("id").agg(
-            F.greatest(F.max("seed"), 1 - F.exp(F.sum(F.log(1 - F.col("pattern"))))).alias("score")
+        # All patterns beside what is accepted by now: seeds, and what the round before discovered.
+        known = links.join(scores.where(F.col("score") >= ACCEPT), "id", "left")
+        patterns = known.groupBy("k", "side", "word").agg(
+            F.sum("score").alias("sum"),
+            (F.max("times") - F.sum(F.col("score").isNull().cast("long"))).alias("told"),
+            F.countDistinct(F.when(F.col("score").isNotNull(), F.col("value"))).alias("support"),
+        )
+        patterns = patterns.where(F.col("support") >= SUPPORT).select(
+            "k", "side", "word", F.least(F.col("sum") / F.greatest("told", "sum"), F.lit(0.99)).alias("pattern")
+        ).where(F.col("pattern") >= PATTERN)
+        scores = links.join(patterns, ["k", "side", "word"], "left").groupBy("id").agg(
+            F.greatest(F.max("seed"), 1 - F.exp(F.sum(F.log(1 - F.coalesce("pattern", F.lit(0.0)))))).alias("score")
         )
         scores = scratch.write(scores)
     new = links.where("seed = 0").join(scores.where(F.col("score") >= ACCEPT), "id")

@@ -70,6 +70,24 @@ def test_context_finds_what_patterns_miss(make):
     assert got[20] == "phone:13:25" and got[21] == "" and got[0] == "phone:15:32"
 
 
+def test_context_in_two_steps(make):
+    """Seeds tell "hotline", what it tells has "weekdays" behind it, and that word tells what neither seeds nor
+    "hotline" are near."""
+    texts = [f"note hotline +1 ({200 + i}) 555-1{i:03d} x{i}" for i in range(6)]
+    texts += [f"see hotline 555-123-4{i:03d} weekdays" for i in range(5)]
+    texts += [f"y{chr(97 + i)} 555-987-6{i:03d} weekdays" for i in range(4)] + ["z 555-321-0000 is of no kind"] + ["plain words only"] * 9
+    got = {r.doc_id: r.spans for r in private(make(texts)).collect()}
+    assert all(got[i] == "phone:12:24" for i in range(6, 11))
+    assert all(got[i] == "phone:3:15" for i in range(11, 15)) and got[15] == ""
+
+
+def test_context_with_more_unseen_than_seeds(make):
+    texts = [f"a{i} hotline +1 ({200 + i}) 555-1{i:03d} x{i}" for i in range(4)] + [f"b{i} hotline 555-123-4{i:03d} y{i}" for i in range(9)]
+    texts += [f"c{i} desk +1 ({300 + i}) 555-1{i:03d} x{i}" for i in range(4)] + [f"the desk of {i}" for i in range(9)] + ["the desk 555-123-9999 z"]
+    got = {r.doc_id: r.spans for r in private(make(texts)).collect()}
+    assert all(got[i] == "phone:11:23" for i in range(4, 13)) and got[len(texts) - 1] == ""
+
+
 def test_redact(make, odd):
     docs = make(["mail a@b.cd, ip 1.2.3.4.", "none", None, "+1 555 123 4567 4111 1111 1111 1111", "x 1.2.3.4@h.i a@b.c"])
     out = redact(docs)
