@@ -169,6 +169,26 @@ def test_nearest_of_repeated_rows(spark):
     assert got == sorted(expected)
 
 
+def test_nearest_over_shards(spark, monkeypatch):
+    """Recall at 10 against brute force where many shards and blocks are merged."""
+    from graphloom.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "SHARD", 300)
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    x = np.random.default_rng(9).standard_normal((3000, 32)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, every=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, 3000, 20)) and all(len(v) == 10 for v in got.values())
+    hits = 0
+    for q, own in got.items():
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(own & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(got)
+
+
 def test_chi_square():
     assert abs(chi_square_bound(8, 0.95) - 15.507) < 1e-2 and abs(chi_square_bound(2, 0.5) - 2 * np.log(2)) < 1e-6
     own = np.random.default_rng(0).standard_normal((500, 64))
