@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
@@ -64,7 +65,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any ranges of a sequence of 64-bit values, from prefix sums."""
+    """Polynomial hashes modulo 2**64 of all ranges of a sequence of 64-bit values, from prefix sums. Sequences can be
+    made that collide, so these only choose places and groups; nothing is held to be equal by them."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
@@ -103,35 +105,59 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NO_ALNUM = np.array([not (chr(b).isalnum() and b < 128 or b >= 128) for b in range(256)])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, roll: Rolling, gap: np.ndarray = SPACE, piece: int = 1 << 20):
-    """Hash of each word, and the n + 1 offsets of each document's words. Long inputs are taken in pieces that
-    end between documents or words, so that memory follows the piece and the number of words."""
-    n, hashes = len(data), []
-    starts_at = np.zeros(len(data), bool)
-    starts_at[offsets[:-1][offsets[:-1] < n]] = True
-    word_starts = []
-    lo = 0
-    while lo < n:
-        hi = min(n, lo + piece)
-        while hi < n:  # on to the next place between words
-            cut = np.flatnonzero(gap[data[hi : hi + piece]] | starts_at[hi : hi + piece])
-            if len(cut):
-                hi += int(cut[0])
-                break
-            hi = min(n, hi + piece)
-        part = data[lo:hi]
-        inside = ~gap[part]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1] | starts_at[lo + 1 : hi]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:] | starts_at[lo + 1 : hi]
-        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = roll.sums(roll.table[part])
-        hashes.append(roll.ranges(sums, s, e))
-        word_starts.append(s + lo)
-        lo = hi
-    starts = np.concatenate(word_starts) if word_starts else np.zeros(0, np.int64)
-    return (np.concatenate(hashes) if hashes else np.zeros(0, U64)), np.searchsorted(starts, offsets)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def hashed_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of bytes. Eight bytes at a time go through a bijection, which is no sum of terms: no
+    two ranges that differ in one place only collide, nor do those that break polynomials modulo 2**64."""
+    length = end - start
+    out = mix(length.astype(U64) + U64(0x9E3779B97F4A7C15))
+    if not len(length):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    live, done = np.flatnonzero((length > 0) & (length <= LONG_WORD)), 0
+    while len(live):
+        rest = length[live] - done
+        value = eights[start[live] + done]
+        few = rest < 8
+        value[few] &= (U64(1) << (U64(8) * rest[few].astype(U64))) - U64(1)
+        out[live] = mix(out[live] ^ mix(value + U64(0xD1B54A32D192ED03)))
+        live, done = live[rest > 8], done + 8
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
+def chained(values: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of `length` consecutive values from each start, each through a bijection of the one before."""
+    out = np.full(len(start), 0x9E3779B97F4A7C15 * length % 2**64, U64)
+    for i in range(length):
+        out = mix(out * U64(0xD1342543DE82EF95) + values[start + i])
+    return out
+
+
+def word_ranges(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
+    """Start and end of each word, and the n + 1 offsets of each document's words."""
+    inside = ~gap[data]
+    edge = np.zeros(len(data) + 1, bool)  # where a word can't go on
+    edge[offsets] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    starts = np.flatnonzero(first)
+    del first
+    last = inside
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
+    """Hash of each word, and the n + 1 offsets of each document's words."""
+    starts, ends, at = word_ranges(data, offsets, gap)
+    return hashed_ranges(data, starts, ends), at
 
 
 def record_batches(rows, schema: pa.Schema, most: int = 2000, size=None, most_size: int = 1 << 23):

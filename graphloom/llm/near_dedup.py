@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, Rolling, mix, raw, word_hashes
+from graphloom.llm.common import U64, chained, mix, raw, word_hashes
 from graphloom.llm.components import components
 from graphloom.llm.repeats import Scratch, Sketch, bitmap
 
@@ -54,29 +54,26 @@ class Shingler:
     """Shingles of the documents in Arrow batches."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.of_bytes, self.of_words = size, Rolling(1), Rolling(6)
+        self.size = size
 
     def chunks(self, column: pa.Array):
         """(first row, number of documents, document of each shingle, shingle), sorted, each shingle as often as it
         occurs. A document of fewer words has one shingle, of all its words."""
         data, offsets = raw(column.fill_null(""))
-        words, offsets = word_hashes(data, offsets, self.of_bytes)
+        words, offsets = word_hashes(data, offsets)
         lo, n = 0, len(column)
         while lo < n:
             hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_WORDS, "right")) - 1
             hi = max(lo + 1, min(hi, lo + CHUNK_DOCS, n))
             own, at = words[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            sums, length = self.of_words.sums(own), np.diff(at)
+            length = np.diff(at)
             doc = np.repeat(np.arange(hi - lo), length)
             start = np.flatnonzero(at[1:][doc] - np.arange(len(own)) >= self.size)
-            short = np.flatnonzero((length > 0) & (length < self.size))
-            shingle = np.concatenate(
-                [
-                    self.of_words.ranges(sums, start, start + self.size),
-                    self.of_words.ranges(sums, at[:-1][short], at[1:][short]),
-                ]
-            )
-            doc = np.concatenate([doc[start], short])
+            found, docs = [chained(own, start, self.size)], [doc[start]]
+            for n_words in range(1, self.size):
+                docs.append(np.flatnonzero(length == n_words))
+                found.append(chained(own, at[:-1][docs[-1]], n_words))
+            doc, shingle = np.concatenate(docs), np.concatenate(found)
             order = np.lexsort((shingle, doc))
             yield lo, hi - lo, doc[order], shingle[order]
             lo = hi

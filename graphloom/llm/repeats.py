@@ -6,11 +6,15 @@ anchor, and a run with the L - 1 units behind its last start is a context. So an
 in two equal contexts or in two different contexts of one anchor:
 
 1. count_min(): each partition counts its anchors in a sketch of fixed size; merged, the sketches give an upper
-   bound for the number of times that any window occurs.
+   bound for the number of times that any window occurs (anchors are counted, not windows: the bound is the same
+   for all windows of an anchor).
 2. runs(): a second pass keeps the runs whose anchors may occur twice. None that does is lost.
 3. contexts(): exact groups of equal contexts, pre-aggregated before the shuffle, so that thousands of copies
    become one row. Only where an anchor has several contexts, windows are looked at: a third pass fetches one
    occurrence of each such context with its content (mixed_runs), and whole anchors meet in shards.
+
+Contexts are equal by the 128-bit BLAKE2b digest of their bytes (words: joined by one space), windows of a shard by
+their bytes themselves. The hashes that choose anchors and places decide nothing.
 """
 
 from __future__ import annotations
@@ -19,13 +23,16 @@ import gc
 import uuid
 import zlib
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, Rolling, checkpoint_dir, mix, raw, record_batches, text_key, word_hashes
+from graphloom.llm.common import (
+    U64, Rolling, checkpoint_dir, hashed_ranges, mix, raw, record_batches, text_key, word_ranges,
+)
 
 #: Units worked on at once.
 CHUNK = 1 << 19
@@ -40,21 +47,51 @@ class Kind:
     k: int
 
 
+class Units:
+    """Units of some documents: their values, which anchors are chosen by, and their bytes."""
+
+    def __init__(self, values: np.ndarray, data: np.ndarray, at: np.ndarray | None):
+        self.values, self.data, self.at = values, data, at
+
+    def bytes_of(self, start: np.ndarray, end: np.ndarray):
+        """Start and end of the bytes of ranges of units."""
+        return (start, end) if self.at is None else (self.at[start], self.at[end])
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128 bits of the bytes of each range, as two columns."""
+        data = memoryview(self.data)
+        ranges = zip(*(x.tolist() for x in self.bytes_of(start, end)))
+        found = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in ranges])
+        return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
+def trimmed(data: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """The same ranges of the part of the data that holds them."""
+    a, b = (int(start[0]), int(end[-1])) if len(start) else (0, 0)
+    return data[a:b], start - a, end - a
+
+
+def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """The words, each with a space behind it, and the n + 1 places where they begin there."""
+    at = np.concatenate([[0], np.cumsum(end - start + 1)])
+    out = np.take(data, np.arange(at[-1]) + np.repeat(start - at[:-1], end - start + 1), mode="clip")
+    out[at[1:] - 1] = 0x20
+    return out, at
+
+
 class Cutter:
     """Runs of the documents in Arrow batches of (doc_id, tk, text)."""
 
     def __init__(self, kind: Kind):
         self.kind = kind
-        self.of_bytes, self.first, self.second = Rolling(1), Rolling(2), Rolling(3)
+        self.first = Rolling(2)
 
     def chunks(self, batch: pa.RecordBatch):
-        """(row of each document, unit values, unit offsets, first unit's place in its document, bytes)."""
+        """(row of each document, its Units, unit offsets, first unit's place in its document)."""
         data, offsets = raw(batch.column(2).fill_null(""))
+        words = None
         if self.kind.words:
-            values, offsets = word_hashes(data, offsets, self.of_bytes)
-            data = None
-        else:
-            values = None
+            *words, offsets = word_ranges(data, offsets)
         lo, n = 0, len(offsets) - 1
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
@@ -62,15 +99,19 @@ class Cutter:
             if hi == lo + 1 and b - a > 2 * CHUNK:  # a long document, in pieces that overlap by a window less one
                 for at in range(a, b - self.kind.window + 1, CHUNK):
                     end = min(b, at + CHUNK + self.kind.window - 1)
-                    yield self.part(np.array([lo]), values, data, np.array([at, end]), at - a)
+                    yield self.part(np.array([lo]), words, data, np.array([at, end]), at - a)
             elif b - a >= self.kind.window:
-                yield self.part(np.arange(lo, hi), values, data, offsets[lo : hi + 1], 0)
+                yield self.part(np.arange(lo, hi), words, data, offsets[lo : hi + 1], 0)
             lo = hi
 
-    def part(self, rows, values, data, offsets, skipped):
+    def part(self, rows, words, data, offsets, skipped):
         a, b = int(offsets[0]), int(offsets[-1])
-        own = self.of_bytes.table[data[a:b]] if values is None else values[a:b]
-        return rows, own, offsets - a, skipped, None if data is None else data[a:b]
+        if words is None:
+            units = Units(self.first.table[data[a:b]], np.ascontiguousarray(data[a:b]), None)
+        else:
+            start, end = (x[a:b] for x in words)
+            units = Units(hashed_ranges(*trimmed(data, start, end)), *spelled(data, start, end))
+        return rows, units, offsets - a, skipped
 
     def anchors(self, values, offsets):
         """Start and number of windows of each run, the document it is in, and its anchor's hash."""
@@ -90,7 +131,7 @@ class Cutter:
         at = (least[starts] & low).astype(np.int64)
         new = np.flatnonzero(np.diff(at, prepend=-1) != 0)
         n_windows = np.diff(new, append=len(starts))
-        return starts[new], n_windows, docs[starts[new]], grams[at[new]], sums
+        return starts[new], n_windows, docs[starts[new]], grams[at[new]]
 
 
 class Sketch:
@@ -187,14 +228,11 @@ def count_min(docs: DataFrame, kind: Kind, sketch: Sketch) -> np.ndarray:
 
         def hashes():
             for batch in batches:
-                for _, values, offsets, _, _ in cutter.chunks(batch):
-                    yield cutter.anchors(values, offsets)[3]
+                for _, units, offsets, _ in cutter.chunks(batch):
+                    yield cutter.anchors(units.values, offsets)[3]
 
         yield from block_batches(sketch.counts(hashes()))
 
-    def merge(batches):
-        yield from block_batches(sketch.merged(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))))
-
     return sketch.repeated(merged_blocks(keyed(docs).mapInArrow(count, BLOCKS_SQL), sketch, "two"))
 
 
@@ -235,26 +273,25 @@ def cut_runs(batches, cutter: Cutter, wanted):
     """The columns of RUNS for the wanted runs of a chunk, with what their contents are cut from."""
     for batch in batches:
         doc_ids, t = batch.column(0), batch.column(1).to_numpy()
-        for rows, values, offsets, skipped, data in cutter.chunks(batch):
-            start, n, doc, anchor, sums = cutter.anchors(values, offsets)
-            end = start + n + cutter.kind.window - 1
-            c1 = cutter.first.ranges(sums, start, end)
+        for rows, units, offsets, skipped in cutter.chunks(batch):
+            start, n, doc, anchor = cutter.anchors(units.values, offsets)
             p = (t[rows[doc]] << 32) + start - offsets[doc] + skipped
             owners = doc_ids.take(pa.array(rows[doc]))
-            keep = wanted(anchor, c1, owners, p)
+            keep = wanted(anchor, owners, p)
             if not len(keep):
                 continue
-            start, end, n = start[keep], end[keep], n[keep]
-            second = cutter.second.sums(values)
+            start, n = start[keep], n[keep]
+            end = start + n + cutter.kind.window - 1
+            digests = units.digests(start, end)
             columns = [
-                *(pa.array(x.view(np.int64)) for x in (anchor[keep], c1[keep], cutter.second.ranges(second, start, end))),
+                pa.array(anchor[keep].view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
                 owners.take(pa.array(keep)), pa.array(p[keep]), pa.array(n.astype(np.int32)),
             ]
-            yield columns, keep, (start, end, n), (second, data)
+            yield columns, units, start, end
 
 
 def runs(docs: DataFrame, kind: Kind, sketch: Sketch, repeated: np.ndarray) -> DataFrame:
-    """The runs whose anchors may occur twice: anchor, c1 and c2 (128 bits of the context), doc_id, p, n windows."""
+    """The runs whose anchors may occur twice: anchor, c1 and c2 (the context's digest), doc_id, p, n windows."""
     shared, schema = docs.sparkSession.sparkContext.broadcast(repeated), schema_of(RUNS)
 
     def cut(batches):
@@ -306,20 +343,20 @@ def contexts(found: DataFrame) -> DataFrame:
     return out.select("anchor", "c1", "c2", "first", (~F.col("first").eqNullSafe(F.col("last"))).alias("again"))
 
 
-def occurrence_hash(c1: np.ndarray, doc_id: pa.Array, p: np.ndarray) -> np.ndarray:
-    return mix(mix(c1.view(U64) ^ doc_id.fill_null(-1).to_numpy(zero_copy_only=False).view(U64)) + p.view(U64))
+def occurrence_hash(anchor: np.ndarray, doc_id: pa.Array, p: np.ndarray) -> np.ndarray:
+    return mix(mix(anchor.view(U64) ^ doc_id.fill_null(-1).to_numpy(zero_copy_only=False).view(U64)) + p.view(U64))
 
 
 MIXED = RUNS + ", content binary, many boolean"
 
 
 def mixed_runs(docs: DataFrame, kind: Kind, known: DataFrame, bits: int, many: int) -> DataFrame:
-    """Of each context whose anchor has several, the first occurrence, as in runs(), with its content (bytes, or for
-    words the windows' hashes, 8 bytes each) and whether the anchor has more than `many` contexts, which is decided
+    """Of each context whose anchor has several, the first occurrence, as in runs(), with its content (bytes;
+    words have a space behind each) and whether the anchor has more than `many` contexts, which is decided
     exactly, so that all rows of an anchor go one way. Other occurrences may come with them, as the places are looked
     up in a bitmap of fixed size."""
     several = known.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    firsts = known.join(several, "anchor").select("c1", F.col("first.doc_id").alias("doc_id"), F.col("first.p").alias("p"))
+    firsts = known.join(several, "anchor").select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.p").alias("p"))
     present = Sketch(bits)
     hashes = lambda b: occurrence_hash(b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy())
     # One in `many` of the contexts at most.
@@ -330,15 +367,12 @@ def mixed_runs(docs: DataFrame, kind: Kind, known: DataFrame, bits: int, many: i
 
     def cut(batches):
         cutter = Cutter(kind)
-        wanted = lambda anchor, c1, owners, p: np.flatnonzero(
-            present.may_repeat(shared.value[0], occurrence_hash(c1, owners, p))
+        wanted = lambda anchor, owners, p: np.flatnonzero(
+            present.may_repeat(shared.value[0], occurrence_hash(anchor, owners, p))
         )
-        for columns, _, (start, end, n), (second, data) in cut_runs(batches, cutter, wanted):
-            if data is None:
-                windows = cutter.second.windows(second, kind.window)
-                content = ranges_of(windows.view(np.uint8), 8 * start, 8 * n)
-            else:
-                content = ranges_of(data, start, end - start)
+        for columns, units, start, end in cut_runs(batches, cutter, wanted):
+            start, end = units.bytes_of(start, end)
+            content = ranges_of(units.data, start, end - start)
             of_large = np.isin(columns[0].to_numpy(), shared.value[1])
             yield pa.RecordBatch.from_arrays([*columns, content, pa.array(of_large)], schema=schema)
 
@@ -382,6 +416,25 @@ def in_shards(mixed: DataFrame, spans_of, shard: int, window: int) -> DataFrame:
     return by_anchor.sortWithinPartitions("anchor", "c1", "c2", "doc_id", "p").mapInArrow(run, SPANS)
 
 
+def window_rows(mixed: DataFrame, window: int, words: bool) -> DataFrame:
+    """(w1, w2, doc_id, p): the digest and place of each window of the contents, for anchors of any number of contexts."""
+
+    def run(batches):
+        for batch in batches:
+            doc_ids = batch.column(0)
+            for i, (p, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                data = np.frombuffer(content, np.uint8)
+                at = np.concatenate([[0], np.flatnonzero(data == 0x20) + 1]) if words else None
+                start = np.arange((len(data) if at is None else len(at) - 1) - window + 1)
+                digests = Units(data, data, at).digests(start, start + window)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests[:, 0]), pa.array(digests[:, 1]), doc_ids.take(pa.array(np.full(len(start), i))), pa.array(start + p)],
+                    ["w1", "w2", "doc_id", "p"],
+                )
+
+    return mixed.select("doc_id", "p", "content").mapInArrow(run, "w1 long, w2 long, doc_id long, p long")
+
+
 def removals(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs(doc_id, text) with the sorted spans of each document: array of (s, e), null for none."""
     by_doc = spans.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))

@@ -12,42 +12,41 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import record_batches
 from graphloom.llm.repeats import (
     Kind, Scratch, Sketch, contexts, count_min, in_shards, merged, mixed_runs, position, removals, runs, spans,
+    window_rows,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Binary logarithm of the counters in a row of the sketch: 8 MB a row once merged.
 BITS = 26
-#: Bytes of window hashes in a shard, about; contexts of one anchor beyond which windows become rows.
-SHARD, MANY = 1 << 22, 1 << 16
-
-
-def later_windows(doc_id, p, anchor, contents):
-    """For each context the windows that also occur in an earlier place of the same shard."""
-    n = np.array([len(c) // 8 for c in contents])
-    windows = np.frombuffer(b"".join(contents), np.uint64)
-    own = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(windows)) - np.repeat(np.cumsum(n) - n, n)
-    ids = np.array([-(2**63) if d is None else d for d in doc_id], np.int64)[own]
-    place = np.array(p, np.int64)[own] + at
-    anchors = np.array(anchor, np.int64)[own]
-    order = np.lexsort((place, ids, windows, anchors))
-    same = (np.diff(windows[order], prepend=np.uint64(0)) == 0) & (np.diff(anchors[order], prepend=0) == 0)
-    same[:1] = False
-    later = np.zeros(len(windows), bool)
-    later[order[same]] = True
-    found = np.flatnonzero(later)
-    bounds = np.searchsorted(own[found], np.arange(len(n) + 1))
-    return [at[found[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
+GAP = re.compile(b" ")
+#: Bytes of contexts in a shard, about; contexts of one anchor beyond which windows become rows.
+SHARD, MANY = 1 << 21, 1 << 14
+
+
+def later_windows(doc_id, p, anchor, contents, window: int):
+    """For each context the windows that also occur in an earlier place of the same shard, by their very words."""
+    order = sorted(range(len(contents)), key=lambda i: (anchor[i], doc_id[i] is not None, doc_id[i] or 0, p[i]))
+    out, seen, of = [None] * len(contents), set(), None
+    for i in order:
+        if anchor[i] != of:
+            seen, of = set(), anchor[i]
+        content, later = contents[i], []
+        at = [0, *(m.end() for m in GAP.finditer(content))]
+        for j, (a, b) in enumerate(zip(at, at[window:])):
+            words = content[a:b]
+            if words in seen:
+                later.append(j)
+            else:
+                seen.add(words)
+        out[i] = np.array(later, np.int64)
+    return out
 
 
 def by_windows(mixed: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with any number of contexts: one row per window."""
-    hashes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("content"), i * 8 + 1, 8))
-    windows = mixed.select("anchor", "doc_id", "p", F.posexplode(hashes).alias("i", "w")).select(
-        "anchor", "w", "doc_id", (F.col("p") + F.col("i")).alias("p")
-    )
-    earliest = windows.groupBy("anchor", "w").agg(F.min(position()).alias("first"), F.count("*").alias("times"))
-    later = windows.join(earliest.where("times > 1").drop("times"), ["anchor", "w"])
+    """The same for anchors with any number of contexts: one row per window, grouped by its words' digest."""
+    windows = window_rows(mixed, window, True)
+    earliest = windows.groupBy("w1", "w2").agg(F.min(position()).alias("first"), F.count("*").alias("times"))
+    later = windows.join(earliest.where("times > 1").drop("times"), ["w1", "w2"])
     return later.where(~position().eqNullSafe(F.col("first"))).select(*spans(F.lit(0), F.lit(window)))
 
 
@@ -66,7 +65,8 @@ def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 20, bits: in
     # Windows that different contexts share: the first occurrence of each context stands for it.
     mixed = scratch.write(mixed_runs(docs, kind, known, bits, many))
     scratch.drop(known)
-    shared = in_shards(mixed.where(~F.col("many")), later_windows, SHARD, window)
+    of_shard = lambda doc_id, p, anchor, contents: later_windows(doc_id, p, anchor, contents, window)
+    shared = in_shards(mixed.where(~F.col("many")), of_shard, SHARD, window)
     shared = scratch.write(shared.unionByName(by_windows(mixed.where("many"), window)))
     scratch.drop(mixed)
     scratch.free()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
@@ -76,29 +78,58 @@ class Buckets:
             self.put(sa, before, at, -1 if s_type else 1)
 
 
-def rank_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a sequence over a large alphabet."""
-    n = len(names)
-    rank, step = names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.diff(key[order], prepend=key[order[0]] - 1) != 0
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if rank.max() == n - 1 or step >= n:
-            return order
-        step *= 2
+def ints(values: np.ndarray) -> array:
+    return array("i", values.astype(np.int32).tobytes())
+
+
+class Singly:
+    """The same over a large alphabet, suffix by suffix: a step for each bucket would cost more than one for each place."""
+
+    def __init__(self, text: np.ndarray, is_s: np.ndarray, sigma: int):
+        self.text = text
+        # By place: the symbol in front of it, if that suffix is L (or S), else -1; -1 for no place, too.
+        before = np.concatenate([[-1], text[:-1], [-1]])
+        s_before = np.concatenate([[False], is_s[:-1], [False]])
+        self.left = ints(np.where(s_before, -1, before))
+        self.right = ints(np.where(s_before, before, -1))
+        size = np.bincount(text, minlength=sigma)
+        self.ends = np.cumsum(size)
+        self.heads = self.ends - size
+
+    def induce(self, lms: np.ndarray) -> np.ndarray:
+        n, found = len(self.text), np.full(len(self.text), -1, np.int64)
+        symbols = self.text[lms]
+        found[self.ends[symbols] - (np.searchsorted(symbols, symbols, "right") - np.arange(len(lms)))] = lms
+        sa, left, heads = ints(found), self.left, ints(self.heads)
+        for i in sa:  # what is put in stands further on, and is read when its turn comes
+            c = left[i]
+            if c >= 0:
+                at = heads[c]
+                sa[at] = i - 1
+                heads[c] = at + 1
+        right, ends = self.right, ints(self.ends)
+        last = int(self.text[n - 1])  # nothing induces the last suffix
+        ends[last] -= 1
+        sa[ends[last]] = n - 1
+        for at in range(n - 1, -1, -1):
+            i = sa[at]
+            c = right[i]
+            if c >= 0:
+                ends[c] = to = ends[c] - 1
+                sa[to] = i - 1
+        return np.frombuffer(sa, np.int32).astype(np.int64)
+
+
+#: Symbols up to which a bucket is worth a few array operations.
+FEW_SYMBOLS = 1 << 10
 
 
 def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of a sequence of symbols below sigma, whose last symbol, the least, occurs once.
 
-    Suffixes are classified, the substrings between leftmost S places sorted by inducing and named, their sequence
-    sorted in turn, and all suffixes induced from it in linear time. Every bucket is handled by a few array
-    operations, so sigma should be small; the sequence of names, whose alphabet is large, is sorted by doubling.
+    Suffixes are classified, the substrings between leftmost S places sorted by inducing and named, the sequence of
+    their names sorted by the same function in turn, unless all names differ, and all suffixes induced from it, in
+    linear time. A sequence of names is at most half as long and ends in its least name, which occurs once.
     """
     text = np.asarray(text, np.int64)
     n = len(text)
@@ -109,7 +140,7 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     is_lms[0] = False
     is_lms[1:] &= ~is_s[:-1]
     lms = np.flatnonzero(is_lms)
-    buckets = Buckets(text.astype(np.int64), is_s, sigma)
+    buckets = (Buckets if sigma <= FEW_SYMBOLS else Singly)(text, is_s, sigma)
     if len(lms) <= 1:
         return buckets.induce(lms)
     by_symbol = lms[np.argsort(text[lms], kind="stable")]
@@ -131,7 +162,8 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     name_of = np.zeros(n, np.int64)
     name_of[sorted_lms] = np.concatenate([[0], np.cumsum(~same)])
     names = name_of[lms]
-    order = np.argsort(names) if names.max() == len(names) - 1 else rank_doubling(names)
+    n_names = int(names.max()) + 1
+    order = np.argsort(names) if n_names == len(names) else suffix_array(names, n_names)
     return buckets.induce(lms[order])
 
 

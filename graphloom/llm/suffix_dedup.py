@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Rolling, raw, record_batches
+from graphloom.llm.common import raw, record_batches
 from graphloom.llm.repeats import (
     Kind, Scratch, Sketch, contexts, count_min, in_shards, merged, mixed_runs, position, removals, runs, spans,
+    window_rows,
 )
 from graphloom.llm.suffix_array import permuted_lcp, suffix_array
 
 #: Binary logarithm of the counters in a row of the sketch that finds candidate shards.
 BITS = 26
-#: Bytes in a shard, about; contexts of one anchor beyond which they are told apart by their windows' hashes.
+#: Bytes in a shard, about; contexts of one anchor beyond which they are told apart window by window.
 SHARD, MANY = 1 << 21, 8192
 
 
@@ -43,21 +44,8 @@ def repeated_starts(contents: Sequence[bytes], window: int) -> list[np.ndarray]:
 
 
 def by_windows(mixed: DataFrame, window: int) -> DataFrame:
-    """Spans for anchors with any number of contexts: one row per window, grouped by 128 bits of hash."""
-
-    def run(batches):
-        first, second = Rolling(4), Rolling(5)
-        for batch in batches:
-            doc_ids = batch.column(0)
-            for i, (p, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                data = np.frombuffer(content, np.uint8)
-                w1, w2 = (r.windows(r.sums(r.table[data]), window).view(np.int64) for r in (first, second))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1), pa.array(w2), doc_ids.take(pa.array(np.full(len(w1), i))), pa.array(np.arange(len(w1)) + p)],
-                    ["w1", "w2", "doc_id", "p"],
-                )
-
-    windows = mixed.select("doc_id", "p", "content").mapInArrow(run, "w1 long, w2 long, doc_id long, p long")
+    """Spans for anchors with any number of contexts: one row per window, grouped by its bytes' digest."""
+    windows = window_rows(mixed, window, False)
     again = windows.groupBy("w1", "w2").agg(F.min(position()).alias("a"), F.max(position()).alias("b"))
     again = again.where(~F.col("a").eqNullSafe(F.col("b"))).select("w1", "w2")
     return windows.join(again, ["w1", "w2"]).select(*spans(F.lit(0), F.lit(window)))
