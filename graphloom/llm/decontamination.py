@@ -10,48 +10,69 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NO_ALNUM, U64, Rolling, mix, raw, record_batches, word_hashes
+from graphloom.llm.common import NO_ALNUM, U64, chained, mix, raw, record_batches, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Blocks of a 64-bit fingerprint, and errors looked up in a block. A fingerprint within RADIUS of an item's has a
-#: block within NEAR of the item's block: with more errors in every block there would be BLOCKS * (NEAR + 1).
-BLOCKS, NEAR = 8, 2
+#: 64-bit words of a fingerprint, its blocks, and the errors within which a block counts as near. A fingerprint within
+#: RADIUS of an item's has a near block: with more errors in every block there would be BLOCKS * (NEAR + 1).
+#: Windows and items of one length at similarity 0.8 agree in 8/9 of their votes or more, so that a bit differs with
+#: probability arccos(8/9)/pi = 0.151 at most: 19.4 of 128 bits, with a deviation of 4.1. RADIUS is 4.8 of these away.
+WORDS, BLOCKS, NEAR = 2, 4, 9
 RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Benchmark items in an index; more are taken in further passes over the documents.
 ITEMS = 20_000
-CHUNK = 1 << 20
-ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+CHUNK, STARTS = 1 << 20, 2048
 
 
 class Words:
     """Words of lower-cased texts (runs of letters and digits) and their shingles, as hashes."""
 
-    def __init__(self):
-        self.of_bytes, self.of_words = Rolling(1), Rolling(7)
-
     def of(self, column: pa.Array):
         data, offsets = raw(pc.utf8_lower(column.fill_null("")))
-        return word_hashes(data, offsets, self.of_bytes, NO_ALNUM)
+        return word_hashes(data, offsets, NO_ALNUM)
 
     def shingles(self, words: np.ndarray, size: int) -> np.ndarray:
-        return self.of_words.windows(self.of_words.sums(words), size)
-
-
-def sim_hash(votes: np.ndarray) -> np.ndarray:
-    """Fingerprints from summed votes (n x 64)."""
-    return np.packbits(votes > 0, axis=1)
-
-
-def votes(shingles: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each shingle."""
-    bits = np.unpackbits(mix(shingles ^ U64(0xA5A5)).view(np.uint8).reshape(-1, 8), axis=1)
-    return bits.astype(np.int32) * 2 - 1
+        return chained(words, np.arange(max(0, len(words) - size + 1)), size)
+
+
+def votes(shingles: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """+1 or -1 for each bit. The turn-th occurrence of a shingle in a window votes for itself: windows then agree in
+    their votes as they do in their counts, and no shingle outvotes others by being repeated."""
+    own = mix(shingles + turns.astype(U64) * U64(0x9E3779B97F4A7C15))
+    words = np.stack([mix(own ^ U64(0xA5A5 + i)) for i in range(WORDS)], axis=1)
+    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+
+
+def occurrences(shingles: np.ndarray):
+    """For each place how often its shingle occurs before it, and a function that tells how often it occurs before
+    another place of each."""
+    _, name = np.unique(shingles, return_inverse=True)
+    n = len(shingles)
+    key = np.sort(name.astype(np.int64) * (n + 1) + np.arange(n))
+    first = np.searchsorted(key, name.astype(np.int64) * (n + 1))
+    before = lambda at, place: np.searchsorted(key, name[at].astype(np.int64) * (n + 1) + place) - first[at]
+    return before(np.arange(n), np.arange(n)), before
+
+
+def prints(shingles: np.ndarray, n: int, first: int, last: int) -> np.ndarray:
+    """Fingerprints (as BLOCKS 32-bit numbers) of the windows of n shingles that start at first to last, each from
+    the one before: the last occurrence of what leaves goes, and what comes in votes as one more."""
+    own = shingles[first : last + n]
+    so_far, before = occurrences(own)
+    sums = np.empty((last - first + 1, 64 * WORDS), np.int32)
+    sums[0] = votes(own[:n], so_far[:n]).sum(axis=0, dtype=np.int32)
+    if last > first:
+        out = np.arange(last - first)
+        change = votes(own[out + n], so_far[out + n] - before(out + n, out + 1)).astype(np.int32)
+        change -= votes(own[out], before(out, out + n) - so_far[out] - 1)
+        sums[1:] = sums[0] + np.cumsum(change, axis=0)
+    return np.packbits(sums > 0, axis=1).view(np.uint32)
 
 
 class Index:
-    """The items of a benchmark: their shingles, fingerprints, and tables of fingerprint blocks."""
+    """The items of a benchmark by length: their shingles, fingerprints and fingerprint blocks."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         words = Words()
         hashes, at = words.of(pa.array([t for _, t in items], pa.string()))
         rows = []
@@ -63,11 +84,12 @@ class Index:
         self.lengths = np.array([r[1] for r in rows], np.int64)
         self.sizes = np.array([r[2] for r in rows], np.int64)
         self.counts = [Counter(r[3].tolist()) for r in rows]
-        prints = np.vstack([sim_hash(votes(r[3]).sum(axis=0, keepdims=True)) for r in rows]) if rows else np.zeros((0, 8), np.uint8)
-        self.prints = prints
-        # tables[block][value]: the items whose block is within NEAR of the value
-        values = np.arange(256, dtype=np.uint8)
-        self.tables = [ONES[values[:, None] ^ prints[:, b]] <= NEAR for b in range(BLOCKS)]
+        #: By length: the items, and each block of their fingerprints as a posting of its own.
+        self.postings = {}
+        for length in sorted(set(self.lengths.tolist())):
+            own = np.flatnonzero(self.lengths == length)
+            found = np.vstack([prints(rows[i][3], len(rows[i][3]), 0, 0) for i in own])
+            self.postings[length] = own, np.ascontiguousarray(found.T)
         self.by_size = {}
         for size in sorted(set(self.sizes.tolist())):
             own = [i for i in range(len(rows)) if self.sizes[i] == size]
@@ -77,15 +99,13 @@ class Index:
             seen[(shingles & U64((1 << 20) - 1)).astype(np.int64)] = True
             self.by_size[size] = shingles, np.array([i for _, i in pairs]), seen
 
-    def near(self, prints: np.ndarray) -> np.ndarray:
-        """For each fingerprint the items within RADIUS (a table of booleans), by way of the blocks."""
-        out = np.zeros((len(prints), len(self.ids)), bool)
-        for b in range(BLOCKS):
-            out |= self.tables[b][prints[:, b]]
-        at, item = np.nonzero(out)
-        far = ONES[prints[at] ^ self.prints[item]].sum(axis=1) > RADIUS
-        out[at[far], item[far]] = False
-        return out
+    def near(self, found: np.ndarray, length: int):
+        """(fingerprint, item) of all items of that length within RADIUS, by way of the blocks."""
+        own, blocks = self.postings[length]
+        at, item = np.nonzero(np.logical_or.reduce([np.bitwise_count(found[:, b, None] ^ blocks[b]) <= NEAR for b in range(BLOCKS)]))
+        distance = sum(np.bitwise_count(found[at, b] ^ blocks[b][item]).astype(np.int64) for b in range(BLOCKS))
+        close = distance <= RADIUS
+        return at[close], own[item[close]]
 
 
 def hits(index: Index, size: int, shingles: np.ndarray) -> np.ndarray:
@@ -96,12 +116,25 @@ def hits(index: Index, size: int, shingles: np.ndarray) -> np.ndarray:
     return maybe[known[at] == shingles[maybe]]
 
 
+def stretches(starts: np.ndarray):
+    """First and last of each stretch of consecutive starts, of STARTS at most."""
+    cuts = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(starts)).tolist()):
+        for x in range(a, b, STARTS):
+            yield int(starts[x]), int(starts[min(x + STARTS, b) - 1])
+
+
+def weighted_jaccard(counts: Counter, theirs: Counter) -> float:
+    both = sum(min(c, theirs[s]) for s, c in counts.items() if s in theirs)
+    return both / (counts.total() + theirs.total() - both)
+
+
 def matches(index: Index, words: Words, own: np.ndarray, similarity: float):
     """(item, similarity, start, length) of the best window of a document for each item that has one.
 
     Only windows with a shingle of an item can be similar to it, so fingerprints are taken of windows of that item's
-    size over its shingles; the blocks then give all items within the radius, and the weighted Jaccard similarity of
-    shingle counts decides.
+    length over its shingles, a limited number at a time; the blocks then give all items of the length within the
+    radius, and the weighted Jaccard similarity of shingle counts decides.
     """
     best: dict[int, tuple[float, int, int]] = {}
     for size in index.by_size:
@@ -113,31 +146,22 @@ def matches(index: Index, words: Words, own: np.ndarray, similarity: float):
             continue
         known, item_of, _ = index.by_size[size]
         lo, hi = np.searchsorted(known, shingles[hit]), np.searchsorted(known, shingles[hit], "right")
-        places: dict[int, list[int]] = {}
-        for h, a, b in zip(hit.tolist(), lo.tolist(), hi.tolist()):
-            for i in item_of[a:b].tolist():
-                places.setdefault(int(index.lengths[i]), []).append(h)
-        for length, at in places.items():
+        places = np.repeat(hit, hi - lo)
+        lengths = index.lengths[item_of[np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist())])]]
+        for length in np.unique(lengths).tolist():
+            at = places[lengths == length]
             n = min(length, len(own)) - size + 1  # shingles in a window
             last = len(shingles) - n
             starts = np.zeros(last + 2, np.int64)  # marks the window starts that cover a hit
-            np.add.at(starts, np.maximum(np.array(at) - n + 1, 0), 1)
-            np.add.at(starts, np.minimum(np.array(at), last) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(starts)[: last + 1] > 0)
-            for part in np.array_split(starts, max(1, len(starts) // 4096)):
-                a, b = int(part[0]), int(part[-1]) + n
-                sums = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(votes(shingles[a:b]), axis=0)])
-                prints = sim_hash(sums[part - a + n] - sums[part - a])
-                near = index.near(prints)
-                for w, i in zip(*(x.tolist() for x in np.nonzero(near))):
-                    if index.sizes[i] != size or index.lengths[i] != length:
+            np.add.at(starts, np.maximum(at - n + 1, 0), 1)
+            np.add.at(starts, np.minimum(at, last) + 1, -1)
+            for a, b in stretches(np.flatnonzero(np.cumsum(starts)[: last + 1] > 0)):
+                for w, i in zip(*(x.tolist() for x in index.near(prints(shingles, n, a, b), length))):
+                    if index.sizes[i] != size:
                         continue
-                    start = int(part[w])
-                    counts, theirs = Counter(shingles[start : start + n].tolist()), index.counts[i]
-                    both = sum(min(c, theirs[s]) for s, c in counts.items() if s in theirs)
-                    found = both / (n + sum(theirs.values()) - both)
+                    found = weighted_jaccard(Counter(shingles[a + w : a + w + n].tolist()), index.counts[i])
                     if found >= similarity - 1e-12 and found > best.get(i, (0.0, 0, 0))[0]:
-                        best[i] = found, start, n + size - 1
+                        best[i] = found, a + w, n + size - 1
     return [(index.ids[i], *x) for i, x in best.items()]
 
 
@@ -160,7 +184,7 @@ def indexes(benchmark: DataFrame, most: int = ITEMS):
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
     for b in range(blocks):
         own = rows.where(block == b).collect() if blocks > 1 else rows.collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id or 0, r.text) for r in own)))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted(((r.item_id, r.text) for r in own), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))))
 
 
 ROW = pa.schema(
@@ -174,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Words are lower-case runs of letters and digits. A window has as many words as the item (a shorter document is
     one window); similarity is the weighted Jaccard similarity of the counts of five-word shingles, 0.8 or more.
-    Items of fewer words are one shingle. Null or empty texts and items hold nothing. Repeated rows of docs give
+    Items of fewer words are one shingle. An item without an id is one like others; its matches have a null item_id. Null or empty texts and items hold nothing. Repeated rows of docs give
     repeated results; of equal windows the first is given. An empty table on either side gives an empty table; other
     columns are not read. The benchmark is broadcast in indexes of at most ITEMS items, with a pass for each.
     """

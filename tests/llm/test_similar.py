@@ -2,10 +2,11 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
-from graphloom.llm.decontamination import BLOCKS, NEAR, RADIUS, Index, contaminated, keep_clean
+from graphloom.llm.decontamination import BLOCKS, NEAR, RADIUS, Index, contaminated, keep_clean, prints
 from graphloom.llm.near_dedup import classes, keep_one, prob_min_hash
 from graphloom.llm.neighbours import Searcher, chi_square_bound, nearest
 
@@ -114,16 +115,89 @@ def test_contaminated(spark, make, corpus, odd, empty):
     assert contaminated(empty, benchmark).count() == 0 and contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def best_windows(texts, items, least=0.8):
+    """{(document, item): weighted Jaccard similarity} of the best window, by looking at each."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for i, item in enumerate(items):
+        w = words(item)
+        k = min(5, len(w))
+        theirs = Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
+        for d, text in enumerate(texts):
+            own = words(text)
+            n = min(len(w), len(own))
+            # Windows without any shingle of the item have similarity 0.
+            at = [j for j in range(len(own) - k + 1) if tuple(own[j : j + k]) in theirs] if n >= k else []
+            for s in sorted({x for j in at for x in range(max(0, j - n + k), min(j, len(own) - n) + 1)}):
+                counts = Counter(tuple(own[j : j + k]) for j in range(s, s + n - k + 1))
+                found = (counts & theirs).total() / (counts | theirs).total()
+                if found >= max(least - 1e-12, out.get((d, i), 0)):
+                    out[d, i] = found
+    return out
+
+
+def test_contaminated_is_what_brute_force_finds(spark, make):
+    """Items with and without repeated words, with so many changes that similarities lie on either side of 0.8."""
+    rng = random.Random(12)
+    items = [" ".join(f"a{rng.randrange(10**6)}" for _ in range(n)) for n in (40, 40, 70, 120)]
+    items += [" ".join([f"b{rng.randrange(10**6)}" for _ in range(200)] + ["same"] * n) for n in (24, 60)]
+    items += [" ".join(rng.choices(["x", "y", "z"], k=90)), "one two three", " ".join(["w"] * 30)]
+    texts = []
+    for item in items * 12:
+        words = item.split()
+        for _ in range(rng.randint(0, max(1, len(words) // 28))):
+            words[rng.randrange(len(words))] = f"c{rng.randrange(10**6)}"
+        cut = rng.randrange(0, max(1, len(words) // 12)) if rng.random() < 0.3 else 0
+        texts.append(" ".join([f"d{rng.randrange(999)}" for _ in range(rng.randint(0, 50))] + words[cut:] + [f"d{rng.randrange(999)}" for _ in range(rng.randint(0, 9))]))
+    for item in items[4:6]:  # all the repeated words gone, or some, and none of the others
+        words = item.split()
+        texts += [" ".join(words[: 200 + n] + [f"e{j}" for j in range(24 - n)]) for n in range(0, 24, 3)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(make(texts), benchmark).collect()}
+    expected = best_windows(texts, items)
+    assert len([x for x in expected.values() if x < 0.95]) > 20
+    assert got.keys() == expected.keys() and all(abs(got[k] - x) < 1e-9 for k, x in expected.items())
+
+
+def test_contaminated_on_tables(spark):
+    """The documents and benchmark of sf0.001, window by window."""
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    rows, items = docs.select("doc_id", "text").collect(), benchmark.collect()
+    expected = best_windows([r.text for r in rows], [r.text for r in items])
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, benchmark).collect()}
+    assert got == {(rows[d].doc_id, items[i].item_id) for d, i in expected}
+
+
+def test_contaminated_in_a_very_long_text(spark, make):
+    words = [f"l{i}" for i in range(60_000)]
+    words[10:40] = words[50_000:50_030] = [f"m{i}" for i in range(30)]
+    benchmark = spark.createDataFrame([(None, " ".join(f"m{i}" for i in range(30)))], "item_id long, text string")
+    got = contaminated(make([" ".join(words)]), benchmark).collect()
+    assert [(r.doc_id, r.item_id, r.similarity, r.start, r.length) for r in got] == [(0, None, 1.0, 10, 30)]
+
+
+def test_fingerprints_of_sliding_windows():
+    rng = np.random.default_rng(3)
+    for sigma in (2, 5, 1000):
+        shingles = rng.integers(0, sigma, 60).astype(np.uint64)
+        for n in (1, 7, 60):
+            found = prints(shingles, n, 0, 60 - n)
+            assert (found == np.vstack([prints(shingles[i : i + n].copy(), n, 0, 0) for i in range(61 - n)])).all()
+
+
 def test_blocks_find_all_within_radius():
     rng = np.random.default_rng(2)
     index = Index([(i, f"t{i} a b c d e f") for i in range(50)])
-    prints = rng.integers(0, 256, (400, 8), dtype=np.uint8)
-    prints[:50] = index.prints
+    own, blocks = index.postings[7]
+    found = rng.integers(0, 2**32, (400, BLOCKS), dtype=np.uint32)
+    found[:50] = blocks.T
     for i in range(50):
-        for b in rng.integers(0, 64, rng.integers(0, RADIUS + 1)):
-            prints[i, b // 8] ^= 1 << (b % 8)
-    exact = np.unpackbits(prints[:, None] ^ index.prints[None], axis=2).sum(axis=2) <= RADIUS
-    assert (index.near(prints) == exact).all() and RADIUS < BLOCKS * (NEAR + 1)
+        for b in rng.integers(0, 32 * BLOCKS, rng.integers(0, RADIUS + 1)):
+            found[i, b // 32] ^= np.uint32(1 << (b % 32))
+    exact = np.bitwise_count(found[:, None] ^ blocks.T[None]).sum(axis=2) <= RADIUS
+    at, item = index.near(found, 7)
+    assert set(zip(at.tolist(), item.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(exact))))
+    assert RADIUS < BLOCKS * (NEAR + 1)
 
 
 def test_nearest(spark):
