@@ -8,7 +8,6 @@ normalizer and pre-tokenizer. A text that holds a special string goes to the lib
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 #: Fixed values of the public byte-level alphabet: these bytes stand for themselves, the rest follow from U+0100.
 OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -21,25 +20,29 @@ LATIN = re.compile(
 GAP = re.compile("[\t-\r ]")
 #: Characters at which str.split() cuts and the tokenizer doesn't.
 NO_GAP = re.compile("[\x1c-\x1f]")
-PIECE, CACHE, LONG = 1 << 20, 1 << 19, 256
+PIECE, LONG = 1 << 20, 256
+#: Bytes that a table of what is known may hold, about, and those of an entry besides its key and value.
+KNOWN, ENTRY = 1 << 24, 160
 
 
 class Known(dict):
     """What `of(key)` gives, worked out once for each distinct key. Of two generations the older goes when the
-    newer is full: memory is bounded, frequent keys stay, and only repeated work follows from a lost one."""
+    newer is full: memory is bounded, in bytes, frequent keys stay, and only repeated work follows from a lost one."""
 
     def __init__(self, of):
         super().__init__()
-        self.of, self.older = of, {}
+        self.of, self.older, self.size = of, {}, 0
 
     def __missing__(self, key):
         out = self.older.get(key)
         if out is None:
             out = self.of(key)
         if len(key) < LONG:
-            if len(self) >= CACHE // 2:
+            self.size += ENTRY + len(key) + (len(out) if isinstance(out, bytes) else 0)
+            if self.size > KNOWN // 2:
                 self.older = dict(self)
                 self.clear()
+                self.size = 0
             self[key] = out
         return out
 
@@ -52,10 +55,8 @@ class PreTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        #: By pre-token: the number of its pieces, and their ids. By word between white space: those of its pre-tokens.
-        self.n_pieces = Known(lambda t: len(self._split(t)))
+        #: By pre-token its ids, by word between white space those of its pre-tokens.
         self.ids = Known(lambda t: b"".join(x.id.to_bytes(4, "little") for x in self._split(t)))
-        self.word_pieces = Known(lambda w: sum(map(self.n_pieces.__getitem__, LATIN.findall(w))))
         self.word_ids = Known(lambda w: b"".join(map(self.ids.__getitem__, LATIN.findall(w))))
 
     @staticmethod
@@ -67,9 +68,12 @@ class PreTokens:
     def _split(self, token: str):
         return self.tokenizer.model.tokenize("".join(map(ALPHABET.__getitem__, token.encode())))
 
+    def has_special(self, text: str) -> bool:
+        return any(x in text for x in self.special)
+
     def whole(self, text: str) -> list[int] | None:
         """The ids of a text that holds a special string."""
-        if any(x in text for x in self.special):
+        if self.has_special(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return None
 
@@ -92,14 +96,8 @@ class PreTokens:
                 yield (False, LATIN.findall(low)) if NO_GAP.search(low) else (True, low.split())
             lo = hi
 
-    def count(self, text: str) -> int:
-        if (ids := self.whole(text)) is not None:
-            return len(ids)
-        total = 0
-        for words, part in self.cut(text):
-            pieces = self.word_pieces if words else self.n_pieces
-            total += sum(n * pieces[t] for t, n in Counter(part).items())
-        return total
+    def n_pieces(self, token: str) -> int:
+        return len(self._split(token))
 
     def id_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
