@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.repeats import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
+#: A further kind, which only bootstrapping looks for: identifiers of any shape.
+ALL = (*KINDS, "id")
 #: The base patterns, in forms without backtracking over groups, whose depth on the JVM's stack would follow the
 #: text: U+0003 stands between two dots, or two separators, where a repeated group must end.
 BASE = {
@@ -20,14 +22,19 @@ BASE = {
 APART = {"email": r"(?<=\.)(?=\.)", "card": r"(?<=[\x20-])(?=[\x20-])"}
 #: What a text must hold for a pattern to be tried.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9\x20-]{14}", "phone": r"\+[0-9]"}
-#: Looser shapes of each kind, which count only in a telling context.
+#: Seeds of identifiers: long lower-case hexadecimal strings.
+SEED = {"id": r"(?<![0-9A-Za-z])[0-9a-f]{32,128}+(?![0-9A-Za-z])"}
+SEED_HINT = {"id": "[0-9a-f]{32}"}
+#: Looser shapes of each kind, which count only in a telling context. An identifier may be anything that stands between
+#: white space, quotes or brackets and holds a digit.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]{1,63}+\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z]{2,24}",
     "ip": r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]{2,34}[0-9A-Fa-f](?![0-9A-Fa-f:.])",
     "card": r"(?<![0-9])[0-9][0-9\x20-]{10,30}[0-9](?![0-9])",
     "phone": r"(?<![0-9+])[0-9(][0-9\x20().-]{5,22}[0-9](?![0-9])",
+    "id": r"(?<![^\s\x22\x27\x60=,;()\[\]{}<>])[^\s\x22\x27\x60=,;()\[\]{}<>]{8,128}+(?![^\s\x22\x27\x60=,;()\[\]{}<>])",
 }
-LOOSE_HINT = {"email": r"(?i)@|[(\[]at[)\]]", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f:]{2}", "card": r"[0-9\x20-]{12}", "phone": r"[0-9\x20().-]{7}"}
+LOOSE_HINT = {"id": r"[0-9]", "email": r"(?i)@|[(\[]at[)\]]", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f:]{2}", "card": r"[0-9\x20-]{12}", "phone": r"[0-9\x20().-]{7}"}
 SPAN = "array<struct<start: int, k: int, end: int, value: string>>"
 #: Rounds of scoring; instances that a pattern needs; least score of a pattern and of a discovery.
 ROUNDS, SUPPORT, PATTERN, ACCEPT = 3, 3, 0.5, 0.7
@@ -47,7 +54,7 @@ def spans(parts: Column, kind: str) -> Column:
     def add(seen, part):
         value = clean(F.substring_index(part, "\x02", 1))
         span = F.struct(
-            seen["at"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), (seen["at"] + F.length(value)).alias("end"), value.alias("value")
+            seen["at"].alias("start"), F.lit(ALL.index(kind)).alias("k"), (seen["at"] + F.length(value)).alias("end"), value.alias("value")
         )
         return F.struct((seen["at"] + F.length(clean(part))).alias("at"), F.concat(seen["out"], F.array(span)).alias("out"))
 
@@ -83,7 +90,13 @@ def valid(kind: str, span: Column) -> Column:
     return F.length(number).between(10, 15)
 
 
+def seed_valid(kind: str, span: Column) -> Column:
+    return span["value"].rlike("[0-9]") & span["value"].rlike("[a-f]")
+
+
 def loosely_valid(kind: str, span: Column) -> Column:
+    if kind == "id":
+        return span["value"].rlike("[0-9]")
     n = F.length(digits(span["value"]))
     return {"email": F.lit(True), "ip": span["value"].rlike(":.*:"), "card": n.between(12, 19), "phone": n.between(7, 15)}[kind]
 
@@ -118,25 +131,25 @@ def in_context(span: Column) -> Column:
 
 
 def extracted(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, t (a hash of the text), base spans, and loose spans that don't overlap them."""
+    """Per row: doc_id, t (a hash of the text), base spans, seeds of identifiers, and loose spans that don't overlap
+    either."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("t"),
         F.translate(F.coalesce("text", F.lit("")), "\x01\x02\x03", "\x04\x04\x04").alias("plain"),
     )
     rows = sought(rows, "base", BASE, HINT, valid)
+    rows = sought(rows, "seeds", SEED, SEED_HINT, seed_valid)
     rows = sought(rows, "loose", LOOSE, LOOSE_HINT, loosely_valid)
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    apart = lambda s: ~F.exists(F.concat("base", "seeds"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     rows = rows.withColumn("loose", F.filter("loose", apart))
-    return rows.select(
-        "doc_id", "t", F.transform("base", in_context).alias("base"), F.transform("loose", in_context).alias("loose")
-    )
+    return rows.select("doc_id", "t", *(F.transform(c, in_context).alias(c) for c in ("base", "seeds", "loose")))
 
 
 def discovered(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Spans (doc_id, t, start, k, end, value) that only their context tells, or None without any candidate.
 
-    The base spans are seeds. A lexical pattern is a word to the left or right of a span of one kind. Its score is
+    The base spans, and of identifiers the long hexadecimal strings, are seeds. A lexical pattern is a word to the left or right of a span of one kind. Its score is
     the sum of the scores of its accepted instances over the number of times that its word occurs at all, so that
     common words tell nothing; loose spans that aren't accepted speak neither for nor against it. An instance has
     score 1 as a seed, else that of its patterns together, and is accepted from ACCEPT on. Each round makes its
@@ -144,9 +157,9 @@ def discovered(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     follow the number of spans, but for the counts of words, which are summed before they are shuffled.
     """
     one = lambda column, seed: found.select("doc_id", "t", F.explode(column).alias("s"), F.lit(seed).alias("seed"))
-    instances = one("base", 1.0).unionByName(one("loose", 0.0)).distinct()
+    instances = one(F.concat("base", "seeds"), 1.0).unionByName(one("loose", 0.0)).distinct()
     instances = instances.select("doc_id", "t", "s.*", "seed")
-    if found.where(F.size("loose") > 0).isEmpty() or found.where(F.size("base") > 0).isEmpty():
+    if found.where(F.size("loose") > 0).isEmpty() or found.where(F.size("base") + F.size("seeds") > 0).isEmpty():
         return None
     sides = F.explode(
         F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))
@@ -182,31 +195,32 @@ def discovered(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def written_spans(column: str) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ALL))
     each = lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"], s["end"])
     return F.array_join(F.transform(column, each), ",")
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, t, base and spans (base and discovered, by start, then kind) of every row of docs."""
+    """doc_id, t, base and spans (base, seeds and discovered, by start, then kind) of every row of docs."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.write(extracted(docs))
     plain = lambda column: F.transform(column, lambda s: F.struct(*(s[x].alias(x) for x in ("start", "k", "end", "value"))))
-    rows = found.select("doc_id", "t", plain("base").alias("base"))
+    rows = found.select("doc_id", "t", plain("base").alias("base"), plain("seeds").alias("seeds"))
     new = discovered(docs, found, scratch)
     if new is None:
-        return rows.withColumn("spans", F.col("base"))
+        return rows.select("doc_id", "t", "base", F.array_sort(F.concat("base", "seeds")).alias("spans"))
     new = new.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("u")).agg(
         F.collect_set(F.struct("start", "k", "end", "value")).alias("new")
     )
     rows = rows.join(new, rows["doc_id"].eqNullSafe(new["d"]) & (rows["t"] == new["u"]), "left")
-    every = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast(SPAN))))
+    every = F.array_sort(F.concat("base", "seeds", F.coalesce("new", F.array().cast(SPAN))))
     return rows.select("doc_id", "t", "base", every.alias("spans"))
 
 
 def private(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 (of the base
-    spans as kind:start:end, by start, then kind, comma-joined; in code points) and spans (all, joined likewise).
+    spans as kind:start:end, by start, then kind, comma-joined; in code points), spans (all, joined likewise) and n_spans.
+    Of the kind id, identifiers of any shape, all spans come from bootstrapping.
 
     Base spans are the leftmost matches of each kind's pattern that don't overlap, less those that fail its check.
     Bootstrapping adds spans and removes none; see discovered(). A null text is empty. Repeated rows have equal
@@ -220,25 +234,27 @@ def private(docs: DataFrame) -> DataFrame:
         *(number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
         F.sha2(written_spans("base").cast("binary"), 256).alias("base_sha256"),
         written_spans("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with all their columns, and in place of each span of personal data its kind, as in [EMAIL]."""
-    rows = private_spans(docs).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans"))
-    rows = rows.where(F.size("__spans") > 0).dropDuplicates(["__d", "__t"])
-    names = F.array(*(F.lit(f"[{kind.upper()}]") for kind in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """docs with all their columns, whatever their names, and in place of each span of personal data its kind, as in
+    [EMAIL]."""
+    rows = private_spans(docs).select(F.col("doc_id").alias("d"), "t", "spans").where(F.size("spans") > 0).dropDuplicates(["d", "t"])
+    names = F.array(*(F.lit(f"[{kind.upper()}]") for kind in ALL))
+    start, whole = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), F.col("row")["text"]
 
     def cover(seen, s):
-        text = F.concat(seen["out"], F.substr(F.col("text"), seen["at"] + 1, s["start"] - seen["at"]), F.element_at(names, s["k"] + 1))
+        text = F.concat(seen["out"], F.substr(whole, seen["at"] + 1, s["start"] - seen["at"]), F.element_at(names, s["k"] + 1))
         # A span that begins inside the one before is part of it.
         return F.when(s["start"] >= seen["at"], F.struct(s["end"].alias("at"), text.alias("out"))).otherwise(
             F.struct(F.greatest(s["end"], seen["at"]).alias("at"), seen["out"].alias("out"))
         )
 
-    rest = lambda seen: F.concat(seen["out"], F.substr(F.col("text"), seen["at"] + 1, F.length("text")))
-    key = F.xxhash64(docs["text"]) == rows["__t"]
-    joined = docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["__d"]) & key, "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, cover, rest))
-    return joined.withColumn("text", text).select(*docs.columns)
+    rest = lambda seen: F.concat(seen["out"], F.substr(whole, seen["at"] + 1, F.length(whole)))
+    own = docs.select(F.expr("struct(*)").alias("row"))
+    key = F.xxhash64(whole) == rows["t"]
+    joined = own.join(rows, F.col("row")["doc_id"].cast("long").eqNullSafe(rows["d"]) & key, "left")
+    text = F.when(F.col("spans").isNull(), whole).otherwise(F.aggregate("spans", start, cover, rest))
+    return joined.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))

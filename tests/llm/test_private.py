@@ -8,6 +8,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from graphloom.llm import toxicity
+from graphloom.llm import near_dedup
 from graphloom.llm.pii import KINDS, private, redact
 
 PATTERNS = {
@@ -88,6 +89,38 @@ def test_context_with_more_unseen_than_seeds(make):
     assert all(got[i] == "phone:11:23" for i in range(4, 13)) and got[len(texts) - 1] == ""
 
 
+def test_identifiers_of_any_shape(make):
+    """Hexadecimal seeds tell their word, which tells identifiers of other shapes."""
+    rng = random.Random(4)
+    seeds = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(6)]
+    texts = [f'pla{i} secret = "{s}" after{i}' for i, s in enumerate(seeds)]
+    texts += ['x secret = "QX-77/ab!z_1" y', "the SECRET: ABCDEF0123456789 z", "a secretary 12345678x b", "other = 99887766zz c"] + ["plain words"] * 5
+    got = {r.doc_id: (r.spans, r.n_spans, r.n_email + r.n_ip + r.n_card + r.n_phone) for r in private(make(texts)).collect()}
+    assert all(got[i] == ("id:15:55", 1, 0) for i in range(6))
+    assert got[6] == ("id:12:24", 1, 0) and got[7] == ("id:12:28", 1, 0) and got[8] == got[9] == ("", 0, 0)
+    assert {r.text for r in redact(make(texts)).where("doc_id >= 6 and doc_id < 8").collect()} == {'x secret = "[ID]" y', "the SECRET: [ID] z"}
+
+
+def test_identifiers_on_tables(spark):
+    """The identifiers of sf0.01: all stand behind the word that tells them, and all that do are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts, found = {r.doc_id: r.text for r in docs.collect()}, []
+    for r in private(docs).collect():
+        for kind, a, b in (x.split(":") for x in r.spans.split(",") if x):
+            if kind == "id":
+                found.append((texts[r.doc_id][int(a) : int(b)], texts[r.doc_id][max(0, int(a) - 12) : int(a)]))
+    assert found and all("token" in before.lower() for _, before in found)
+    assert len(found) == sum(len(re.findall(r'(?i)token\W+[0-9a-f]{40}', t or "")) for t in texts.values())
+
+
+def test_columns_of_any_name(spark):
+    names = "doc_id long, text string, __d long, __t string, __spans string, __h string, __k int, `row` string, d int, t int, h string, k int"
+    docs = spark.createDataFrame([(i, f"mail me{i // 2}@x.org please", i, "t", "s", "mine", 7, "r", 1, 2, "hh", 3) for i in range(4)], names)
+    for out in (redact(docs), near_dedup.keep_one(docs)):
+        assert out.columns == docs.columns and all(r["__h"] == "mine" and r["__k"] == 7 and r["row"] == "r" and r["k"] == 3 for r in out.collect())
+    assert redact(docs).count() == 4 and near_dedup.keep_one(docs).count() == 2
+
+
 def test_redact(make, odd):
     docs = make(["mail a@b.cd, ip 1.2.3.4.", "none", None, "+1 555 123 4567 4111 1111 1111 1111", "x 1.2.3.4@h.i a@b.c"])
     out = redact(docs)
