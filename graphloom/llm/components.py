@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from graphloom.llm.repeats import Scratch
 
 
+#: Keys whose rows are joined without a shuffle, at most, and the rows from which on a key is one of them.
+HOT, LARGE = 256, 1024
+
+
+def spread(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """rows.join(one, key), where `one` has a small row for each key. The rows of the HOT most frequent keys, if they
+    are LARGE, stay where they are and meet a broadcast of HOT rows at most, so that no task gets a large group; any
+    other key has less than one in HOT of the rows."""
+    top = rows.groupBy(key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= LARGE)
+    keys = [(r[key],) for r in top.orderBy(F.desc("n_rows"), key).limit(HOT).collect()]
+    if not keys:
+        return rows.join(one, key)
+    top = F.broadcast(rows.sparkSession.createDataFrame(keys, rows.select(key).schema))
+    hot = F.broadcast(one.join(top, key, "left_semi"))
+    return rows.join(hot, key).unionByName(rows.join(top, key, "left_anti").join(one, key))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(h, label) of the vertices of edges(a, b): the least vertex of each one's component, as a table of scratch.
 
@@ -19,13 +36,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("h")).agg(F.min("b").alias("least"))
     labels = scratch.write(labels.select("h", F.col("h").alias("was"), F.least("h", "least").alias("label")))
     while True:
-        around = both.join(labels.select(F.col("h").alias("b"), F.col("label").alias("l")), "b")
+        around = spread(both, labels.select(F.col("h").alias("b"), F.col("label").alias("l")), "b")
         around = around.groupBy(F.col("a").alias("h")).agg(F.min("l").alias("l"))
         hooked = labels.join(around, "h").select("h", F.col("label").alias("was"), F.least("label", "l").alias("label"))
+        hooked = scratch.write(hooked)
         up = hooked.select(F.col("h").alias("label"), F.col("label").alias("up"))
-        new = hooked.join(up, "label").select("h", "was", F.least("label", "up").alias("label"))
+        new = spread(hooked, up, "label").select("h", "was", F.least("label", "up").alias("label"))
         new = scratch.write(new)
-        scratch.drop(labels)
+        scratch.drop(labels, hooked)
         labels = new
         if new.where(F.col("was") != F.col("label")).isEmpty():
             scratch.drop(both)

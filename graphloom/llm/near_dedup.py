@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import U64, chained, mix, raw, word_hashes
-from graphloom.llm.components import components
+from graphloom.llm.components import components, spread
 from graphloom.llm.repeats import Scratch, Sketch, bitmap
 
 #: Words in a shingle, least Jaccard similarity, bands, registers in a band: each shingle of a text has weight 1, so
@@ -171,35 +171,37 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     equal texts only. Rows with the same doc_id keep their own class each; a null doc_id sorts first. An empty table
     gives an empty table; other columns are not read.
     """
-    labels = linked(docs, similarity)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("h"))
-    own = own.join(labels, "h", "left").select("doc_id", F.coalesce("label", "h").alias("label"))
-    heads = own.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return own.join(heads, "label").select("doc_id", "class_id")
+    scratch, own = Scratch(docs.sparkSession), docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("h"))
+    labels, own = linked(docs, similarity), scratch.write(own)
+    texts = own.groupBy("h").agg(F.min("doc_id").alias("d")).join(labels, "h", "left")
+    texts = scratch.write(texts.select("h", F.coalesce("label", "h").alias("label"), "d"))
+    heads = texts.groupBy("label").agg(F.min("d").alias("class_id"))
+    texts = scratch.write(spread(texts, heads, "label").select("h", "class_id"))
+    return spread(own, texts, "h").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, with all columns of docs: that with the least doc_id (null first), then the least
-    128-bit hash of its text; of rows that repeat both, one."""
-    labels = linked(docs, similarity)
-    keyed = docs.withColumn("__h", text_id()).withColumn("__k", F.xxhash64(F.col("doc_id").cast("long")))
-    own = keyed.select(F.col("doc_id").cast("long").alias("d"), F.col("__h").alias("h"), "__k").join(labels, "h", "left")
-    own = own.groupBy(F.coalesce("label", "h").alias("label")).agg(F.min(F.struct("d", "h", "__k")).alias("head"))
-    heads = own.select(F.col("head.h").alias("__h"), F.col("head.__k").alias("__k"))
-    kept = keyed.join(heads, ["__h", "__k"], "left_semi").dropDuplicates(["__h", "__k"])
-    return kept.select(*docs.columns)
+    """One row of each class, with all columns of docs, whatever their names: that with the least doc_id (null first),
+    then the least 128-bit hash of its text; of rows that repeat both, one."""
+    keyed = docs.select(F.expr("struct(*)").alias("row"), F.col("doc_id").cast("long").alias("d"), text_id().alias("h"))
+    keyed = keyed.withColumn("k", F.xxhash64("d"))
+    texts = keyed.groupBy("h").agg(F.min(F.struct("d", "h", "k")).alias("head")).join(linked(docs, similarity), "h", "left")
+    heads = texts.groupBy(F.coalesce("label", "h").alias("label")).agg(F.min("head").alias("head"))
+    kept = keyed.join(heads.select("head.h", "head.k"), ["h", "k"], "left_semi").dropDuplicates(["h", "k"])
+    return kept.select("row.*")
 
 
 def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h, label) for those texts that have a near-duplicate among other texts."""
     scratch = Scratch(docs.sparkSession)
-    keys = bands(docs).select("h", F.explode("keys").alias("key"))
+    signatures = scratch.write(bands(docs).dropDuplicates(["h"]))
+    keys = signatures.select("h", F.explode("keys").alias("key"))
     ends = keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most")
     # One row for each text and bucket that has others.
-    buckets = scratch.write(keys.join(ends.select("key"), "key", "left_semi").distinct())
+    buckets = scratch.write(spread(keys, ends.select("key"), "key"))
+    scratch.drop(signatures)
     texts = scratch.write(buckets.select("h").distinct())
     sets = scratch.write(shingle_sets(among(docs, texts)).dropDuplicates(["h"]).join(texts, "h", "left_semi"))
-    scratch.free()
     labels = scratch.write(texts.withColumn("label", F.col("h")))
     links = tried = None
     for candidates in (least_members, linked_members, all_members):
@@ -219,14 +221,13 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         scratch.drop(labels, found)
         labels = new
     scratch.clear(labels)
-    scratch.free()
     return labels
 
 
 def least_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of each text of members(h, key, label) with the least of its bucket."""
     least = members.groupBy("key").agg(F.min("h").alias("a"))
-    return members.select("key", F.col("h").alias("b")).join(least, "key").where("a <> b")
+    return spread(members.select("key", F.col("h").alias("b")), least, "key").where("a <> b")
 
 
 def linked_members(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -235,7 +236,7 @@ def linked_members(members: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     known = members.join(ends, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     most = known.groupBy("key").agg(F.max(F.struct("n", "h", "label")).alias("m"))
-    pairs = members.join(most, "key").where(F.col("label") != F.col("m.label"))
+    pairs = spread(members, most, "key").where(F.col("label") != F.col("m.label"))
     return pairs.select(F.col("m.h").alias("a"), F.col("h").alias("b"))
 
 

@@ -26,8 +26,12 @@ def plain_classes(rows, least=0.8):
             i = parent[i]
         return i
 
+    holders = {}
+    for i, own in enumerate(sets):
+        for x in own or [rows[i][1] or ""]:
+            holders.setdefault(x, []).append(i)
     for i in range(len(rows)):
-        for j in range(i):
+        for j in {j for x in sets[i] or [rows[i][1] or ""] for j in holders[x] if j < i}:
             same = (rows[i][1] or "") == (rows[j][1] or "")
             if same or sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
                 a, b = find(i), find(j)
@@ -77,6 +81,13 @@ def test_classes_on_one_template(make):
     assert sorted(map(tuple, classes(docs).collect()), key=str) == expected
 
 
+def test_classes_on_tables(spark):
+    """The documents of sf0.01 against brute force: pairs that share a shingle, each compared."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, classes(docs).collect()), key=str) == plain_classes(rows)
+
+
 def test_classes_odd(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(map(tuple, classes(odd).collect()), key=str) == plain_classes(rows)
