@@ -37,12 +37,14 @@ def single(match: Column) -> Column:
     return match
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, seq, text, type, confidence of the general types (PERSON, ORG, LOC, TECH, CONCEPT), in one scan of
-    docs(doc_id, text). seq is the order in which they are emitted: by pattern, then left to right."""
+def mentions(docs: DataFrame, kinds: set[str] | None = None) -> DataFrame:
+    """doc_id, seq, text, type, confidence of the general types (PERSON, ORG, LOC, TECH, CONCEPT), or of some of them, in
+    one scan of docs(doc_id, text). seq is the order in which they are emitted: by pattern, then left to right."""
     doubled = F.regexp_replace("text", f"({NO_W})", "$1$1")
     found = []
     for i, (kind, pattern) in enumerate(PORTABLE):
+        if kinds is not None and kind not in kinds:
+            continue
         each = lambda m, at, kind=kind, i=i: F.struct(
             (F.lit(i).cast("long") * F.lit(1 << 32) + at).alias("seq"), single(m).alias("text"), F.lit(kind).alias("type")
         )

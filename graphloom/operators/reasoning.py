@@ -81,7 +81,7 @@ def relations_by_type(pairs: DataFrame, spark: SparkSession) -> DataFrame:
     rows = pairs.join(F.broadcast(both), (F.col("type_a") == F.col("x")) & (F.col("type_b") == F.col("y")), "left")
     name, share = OTHER_TYPES
     score = F.col("similarity") * F.coalesce("share", F.lit(share))
-    return rows.select("a", "b", F.coalesce("predicate", F.lit(name)).alias("predicate"), F.round(score, 9).alias("score"))
+    return rows.select("a", "b", F.coalesce("predicate", F.lit(name)).alias("predicate"), score.alias("score"))
 
 
 def predict_relations(pairs: DataFrame, edges: DataFrame, least: float = 0.5, top_k: int = 5) -> DataFrame:

@@ -62,9 +62,11 @@ def resolve(found: DataFrame, entities: DataFrame) -> DataFrame:
     in lower case; the first entity in order. entities(doc_id, seq, text, type). The join is on the document; the
     best entity of each text is kept by an aggregate."""
     names = found.select("doc_id", F.col("subject_text").alias("name")).unionByName(found.select("doc_id", F.col("object_text").alias("name"))).distinct()
-    low, own = F.lower(F.trim("name")), F.lower(F.trim("text"))
-    tier = F.when(own == low, 0).when(F.lower("text").contains(low) | low.contains(F.lower("text")), 1)
-    best = names.join(entities.select("doc_id", "seq", "text", "type"), "doc_id").withColumn("tier", tier).where("tier is not null")
+    # Lower case is made before the join: names may be long, and meet all entities of their document.
+    names = names.withColumn("low", F.lower(F.trim("name")))
+    own = entities.select("doc_id", "seq", "text", "type", F.lower("text").alias("own"), F.lower(F.trim("text")).alias("trimmed"))
+    tier = F.when(F.col("trimmed") == F.col("low"), 0).when(F.col("own").contains(F.col("low")) | F.col("low").contains(F.col("own")), 1)
+    best = names.join(own, "doc_id").withColumn("tier", tier).where("tier is not null")
     best = best.groupBy("doc_id", "name").agg(F.min(F.struct("tier", "seq", "text", "type")).alias("e"))
     subject = best.select("doc_id", F.col("name").alias("subject_text"), F.col("e.text").alias("subject"), F.col("e.type").alias("subject_type"))
     objects = best.select("doc_id", F.col("name").alias("object_text"), F.col("e.text").alias("object"), F.col("e.type").alias("object_type"))

@@ -145,20 +145,20 @@ def _pairs(spark, sf_dir):
     kinds = F.array(*map(F.lit, ("PERSON", "ORG", "LOC", "CHEM", "MATH")))
     one = rows.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.element_at(kinds, (F.col("label") % 5 + 1).cast("int")).alias("type_a"))
     two = rows.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.element_at(kinds, (F.col("label") % 5 + 1).cast("int")).alias("type_b"))
-    return one.join(two, "a").select("a", "b", "type_a", "type_b", F.round(embeddings.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return one.join(two, "a").select("a", "b", "type_a", "type_b", embeddings.cosine(F.col("x"), F.col("y")).alias("similarity"))
 
 
 def predict_by_type(spark, sf_dir):
-    return reasoning.relations_by_type(_pairs(spark, sf_dir), spark).select("a", "b", "predicate", F.round("score", 5).alias("score"))
+    return reasoning.relations_by_type(_pairs(spark, sf_dir), spark).select("a", "b", "predicate", F.round("score", 7).alias("score"))
 
 
 COSINE = "list_dot_product(x::DOUBLE[], y::DOUBLE[]) / (sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_dot_product(y::DOUBLE[], y::DOUBLE[])))"
 BY_TYPE = f"""WITH v AS (SELECT vec_id, embedding, ['PERSON', 'ORG', 'LOC', 'CHEM', 'MATH'][label % 5 + 1] AS type FROM embeddings),
-p AS (SELECT a, b, ta, tb, round({COSINE}, 6) AS similarity FROM (
+p AS (SELECT a, b, ta, tb, {COSINE} AS similarity FROM (
   SELECT v.vec_id AS a, u.vec_id AS b, v.type AS ta, u.type AS tb, v.embedding AS x, u.embedding AS y FROM v JOIN v u ON u.vec_id = v.vec_id + 1)),
 t AS (SELECT * FROM (VALUES ('PERSON', 'ORG', 'works_at', 1.0::DOUBLE), ('ORG', 'PERSON', 'works_at', 1.0), ('PERSON', 'LOC', 'located_in', 1.0),
   ('LOC', 'PERSON', 'located_in', 1.0), ('CHEM', 'CHEM', 'reacts_with', 1.0), ('MATH', 'MATH', 'equals', 1.0), ('MATH', 'MATH', 'greater_than', 0.8)) AS t(x, y, predicate, share))
-SELECT a, b, coalesce(predicate, 'related_to') AS predicate, round(round(similarity * coalesce(share, 0.5::DOUBLE), 9), 5) AS score
+SELECT a, b, coalesce(predicate, 'related_to') AS predicate, round(similarity * coalesce(share, 0.5::DOUBLE), 7) AS score
 FROM p LEFT JOIN t ON t.x = ta AND t.y = tb"""
 
 
@@ -166,7 +166,7 @@ def predict_relations(spark, sf_dir):
     """Known relations of vectors chained by label, else those of their types."""
     pairs = _pairs(spark, sf_dir)
     edges = pairs.where("similarity > 0.1").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("next_to").alias("predicate"), F.lit(1.0).alias("confidence"))
-    return reasoning.predict_relations(pairs, edges, least=0.0).select("a", "b", "predicate", F.round("score", 5).alias("score"), "rank")
+    return reasoning.predict_relations(pairs, edges, least=0.0).select("a", "b", "predicate", F.round("score", 7).alias("score"), "rank")
 
 
 def cosine_topk(spark, sf_dir):

@@ -11,8 +11,19 @@ from graphloom.operators import relations as re_
 from graphloom.operators.graph import Graph, edges_of, merge_graphs
 
 
+#: Bytes of Parquet that a task takes where patterns are matched, which takes far longer than reading.
+TASK = 1 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; texts that a few row groups hold are dealt to as many tasks as their size is worth. A large table has
+    more splits than that and isn't shuffled."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if "text" not in rows.columns:
+        return rows
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    wanted = min(-(-size // TASK), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(int(wanted)) if rows.rdd.getNumPartitions() < wanted // 2 else rows
 
 
 # SQL shared by several queries
@@ -87,7 +98,7 @@ kept AS (
 
 def _of_type(kind: str):
     def query(spark, sf_dir):
-        found = en.mentions(read(spark, sf_dir, "documents")).where(F.col("type") == kind)
+        found = en.mentions(read(spark, sf_dir, "documents"), {kind})
         return found.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
 
     return query, f"WITH {mentions_sql('documents', kinds={kind})} SELECT doc_id, text, count(*) AS n FROM m GROUP BY 1, 2"
