@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import U64, chained, mix, raw, word_hashes
 from graphloom.llm.components import components, spread
+from graphloom.llm.pretokens import forget
 from graphloom.llm.repeats import Scratch, Sketch, bitmap
 
 #: Words in a shingle, least Jaccard similarity, bands, registers in a band: each shingle of a text has weight 1, so
@@ -19,6 +20,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 FEW = 64
 #: Counters of shingles that rank them by how rare they are.
 RANKS = 1 << 18
+#: Texts of a class, about, that others are compared with first.
+TURN = 32
 CHUNK_DOCS, CHUNK_WORDS = 2048, 1 << 18
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -94,6 +97,7 @@ def bands(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(h, keys) per document with words: the keys of the buckets it falls into."""
 
     def run(batches):
+        forget()
         shingler = Shingler()
         for batch in batches:
             for lo, n, doc, shingle, _ in shingler.weighted(batch.column(1)):
@@ -165,7 +169,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     one signature and are one row from then on. In a bucket each text is compared with the least one, then with the
     one of most links, unless they are in one class by then; at last, in buckets of up to FEW texts, all that are
     still in different classes with one another, and in larger ones those of them that share a rare shingle, without
-    which no two texts are similar enough; see rare_pairs(). No bucket is gathered in one place and none is cut off.
+    which no two texts are similar enough, class by class in growing samples; see rare_pairs(). No bucket is gathered in one place and none is cut off.
 
     Words are [^\\x20\\x09-\\x0D]+; fewer than five are one shingle. Texts without words (null is empty) are linked to
     equal texts only. Rows with the same doc_id keep their own class each; a null doc_id sorts first. An empty table
@@ -204,13 +208,10 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sets = scratch.write(shingle_sets(among(docs, texts)).dropDuplicates(["h"]).join(texts, "h", "left_semi"))
     labels = scratch.write(texts.withColumn("label", F.col("h")))
     links = tried = None
-    for candidates in (least_members, linked_members, all_members):
-        members = buckets.join(labels, "h")
-        pairs = candidates(members, links)
-        if candidates is all_members:
-            large = scratch.write(large_members(members))
-            if not large.isEmpty():
-                pairs = pairs.unionByName(rare_pairs(large, sets, similarity, scratch))
+
+    def compared(pairs):
+        """The labels once all new ones of these pairs are compared."""
+        nonlocal links, tried
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -218,8 +219,17 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         links = new if links is None else links.unionByName(new)
         found = components(links, scratch)
         new = scratch.write(texts.join(found, "h", "left").select("h", F.coalesce("label", "h").alias("label")))
-        scratch.drop(labels, found)
-        labels = new
+        scratch.drop(found)
+        return new
+
+    for candidates in (least_members, linked_members, all_members):
+        labels = compared(candidates(buckets.join(labels, "h"), links))
+    large = scratch.write(large_members(buckets.join(labels, "h")))
+    if not large.isEmpty():
+        prefixes = scratch.write(rare_prefixes(large, sets, similarity, scratch))
+        most = prefixes.agg(F.max("turn")).first()[0]
+        for turn in range(most + 1):
+            labels = compared(rare_pairs(prefixes, labels, similarity, turn, scratch))
     scratch.clear(labels)
     return labels
 
@@ -275,16 +285,19 @@ def place(shingle: np.ndarray) -> np.ndarray:
     return (mix(shingle) % U64(RANKS)).astype(np.int64)
 
 
-def rare_pairs(texts: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """All pairs (a, b) of texts(h, label) of different classes that may be similar enough, by an exact prefix filter.
+def rare_prefixes(texts: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """h, s, at, size, smaller, turn: the rare shingles of texts(h, label) by which an exact prefix filter finds pairs.
 
     Shingles are in one order for all texts, the rarer first. Two sets of that similarity share so many shingles that
     they share one among the first of each: those that remain of a set once all but one of the least number of shared
-    ones are taken off its end. For the smaller set that number is higher, and the first shared shingle can't stand
-    further on than leaves room for the others. Shingles of one class only are left out, and of each other one pairs
-    within its largest class are never formed.
+    ones are taken off its end. For the smaller set that number is higher. About TURN texts of a class, by a hash, have
+    turn 0, eight times as many have turn 1, and so on.
     """
-    own = scratch.write(sets.join(texts, "h"))
+    sizes = scratch.write(texts.groupBy("label").agg(F.count("*").alias("n")))
+    share = F.pmod(F.xxhash64("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    turn = F.greatest(F.lit(0), F.ceil(F.log((share * F.col("n") + 1e-9) / TURN) / F.log(F.lit(8.0)))).cast("int")
+    turns = spread(texts, sizes, "label").select("h", turn.alias("turn"))
+    own = scratch.write(sets.join(turns, "h"))
     shared = sets.sparkSession.sparkContext.broadcast(shingle_ranks(own))
 
     def least(size, share):
@@ -292,7 +305,7 @@ def rare_pairs(texts: DataFrame, sets: DataFrame, similarity: float, scratch: Sc
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(1)
             shingle, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             doc = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((shingle, shared.value[place(shingle.view(U64))], doc))
@@ -304,23 +317,35 @@ def rare_pairs(texts: DataFrame, sets: DataFrame, similarity: float, scratch: Sc
             rows = pa.array(doc[keep])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(shingle[keep]), pa.array(at[keep]),
-                    pa.array(size[doc[keep]].astype(np.int64)), pa.array(smaller[keep]),
+                    batch.column(0).take(rows), pa.array(shingle[keep]), pa.array(at[keep]),
+                    pa.array(size[doc[keep]].astype(np.int64)), pa.array(smaller[keep]), batch.column(2).take(rows),
                 ],
-                ["h", "label", "s", "at", "size", "smaller"],
+                ["h", "s", "at", "size", "smaller", "turn"],
             )
 
-    found = own.select("h", "label", "shingles").mapInArrow(run, "h binary, label binary, s long, at long, size long, smaller boolean")
-    found = scratch.write(found)
+    return own.select("h", "shingles", "turn").mapInArrow(run, "h binary, s long, at long, size long, smaller boolean, turn int")
+
+
+def rare_pairs(prefixes: DataFrame, labels: DataFrame, similarity: float, turn: int, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of texts of different classes that may be similar enough and whose later turn is this one.
+
+    Each pair has its turn, so none is lost; but a text that is like some members of a large class joins it after
+    a few of them, and isn't compared with the others. The first shared shingle can't stand further on than leaves
+    room for the others. Shingles of one class only are left out, and of each other one pairs within its largest class
+    are never formed.
+    """
+    found = scratch.write(prefixes.where(F.col("turn") <= turn).join(labels, "h"))
     tops = found.groupBy("s", "label").agg(F.count("*").alias("n")).groupBy("s").agg(
         F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("classes")
     )
     found = scratch.write(found.join(tops.where("classes > 1").select("s", "top"), "s").withColumn("other", F.col("label") != F.col("top")))
-    x = found.where("smaller").select("s", *(F.col(c).alias(f"x_{c}") for c in ("h", "label", "at", "size", "other")))
-    y = found.select("s", *(F.col(c).alias(f"y_{c}") for c in ("h", "label", "at", "size", "other")))
+    columns = ("h", "label", "at", "size", "other", "turn")
+    x = found.where("smaller").select("s", *(F.col(c).alias(f"x_{c}") for c in columns))
+    y = found.select("s", *(F.col(c).alias(f"y_{c}") for c in columns))
     room = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     able = (
         (F.col("x_label") != F.col("y_label")) & (F.col("x_size") <= F.col("y_size"))
+        & (F.greatest("x_turn", "y_turn") == turn)
         & (F.col("x_size") >= F.lit(similarity) * F.col("y_size") - 1e-6)
         & (room >= F.lit(similarity / (1 + similarity)) * (F.col("x_size") + F.col("y_size")) - 1e-6)
     )

@@ -22,7 +22,7 @@ GAP = re.compile("[\t-\r ]")
 NO_GAP = re.compile("[\x1c-\x1f]")
 PIECE, LONG = 1 << 20, 256
 #: Bytes that a table of what is known may hold, about, and those of an entry besides its key and value.
-KNOWN, ENTRY = 1 << 24, 160
+KNOWN, ENTRY = 1 << 25, 160
 
 
 class Known(dict):
@@ -110,3 +110,8 @@ class PreTokens:
 
 #: Python workers serve many tasks; what is known stays with them.
 LOADED: dict[str, PreTokens] = {}
+
+
+def forget() -> None:
+    """Frees these tables: workers that turn to another operator need the room."""
+    LOADED.clear()

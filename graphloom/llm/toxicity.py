@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import record_batches
-from graphloom.llm.pretokens import Known
+from graphloom.llm.pretokens import Known, forget
 
 WORD = re.compile(r"\w+")
 #: Most labelled rows that a fit takes, of either class, and the most characters that it reads of all.
@@ -33,10 +33,21 @@ def units(word: str) -> list[str]:
     return [f"{n}{word[:n]}" for n in PREFIXES if len(word) > n] + ["=" + word]
 
 
-def code(word: str) -> bytes:
+def digest_of(unit: str) -> bytes:
+    return hashlib.blake2b(unit.encode(), digest_size=CODE).digest()
+
+
+def code(word: str, prefix=digest_of) -> bytes:
     """A word's spelling for the compressor. zstandard gains nothing from matches of a few bytes, so that a short
     word known to a dictionary would cost as much as an unknown one; of codes of fixed length it spares most."""
-    return b"".join(hashlib.blake2b(u.encode(), digest_size=CODE).digest() for u in units(word))
+    *first, whole = units(word)
+    return b"".join(map(prefix, first)) + digest_of(whole)
+
+
+def known_codes() -> Known:
+    """Codes by word; beginnings, which are few, have a table of their own."""
+    prefixes = Known(digest_of)
+    return Known(lambda word: code(word, prefixes.__getitem__))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -77,7 +88,7 @@ class Model:
     def scorer(self):
         if not self.toxic:
             return lambda text: self.weights[0]
-        toxic, ordinary, codes = Lengths(self.toxic), Lengths(self.ordinary), Known(code)
+        toxic, ordinary, codes = Lengths(self.toxic), Lengths(self.ordinary), known_codes()
 
         def score(text: str | None) -> float:
             x = features(margins(words_of(text), toxic, ordinary, codes))
@@ -172,7 +183,7 @@ def train(rows: list[tuple[int, str | None, int]]) -> Model:
     del both, docs, vocabulary
     if not model.toxic or not model.ordinary:
         return constant
-    lengths, codes = (Lengths(model.toxic), Lengths(model.ordinary)), Known(code)
+    lengths, codes = (Lengths(model.toxic), Lengths(model.ordinary)), known_codes()
     held = sorted(set(range(len(rows))) - set(made))
     x = np.array([features(margins(words_of(rows[i][1]), *lengths, codes)) for i in held])
     y = np.array([rows[i][2] for i in held], float)
@@ -246,6 +257,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches):
+        forget()
         of = model.scorer()
         rows = (
             (doc_id, held, of(text))
@@ -264,6 +276,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        forget()
         of = model.scorer()
         for batch in batches:
             yield batch.filter(pa.array([of(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
