@@ -56,8 +56,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
         pre = PreTokens.at(tokenizer)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview((pre.id_bytes(text) if text else b"") + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), pre.id_bytes(batch.column(1).to_pylist())):
+                ids = memoryview(ids + end)
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]

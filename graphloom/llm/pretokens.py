@@ -8,6 +8,11 @@ normalizer and pre-tokenizer. A text that holds a special string goes to the lib
 from __future__ import annotations
 
 import re
+import struct
+from collections import defaultdict
+from itertools import count
+
+import numpy as np
 
 #: Fixed values of the public byte-level alphabet: these bytes stand for themselves, the rest follow from U+0100.
 OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -18,11 +23,15 @@ LATIN = re.compile(
     "|[^\t-\r \x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+"
 )
 GAP = re.compile("[\t-\r ]")
+#: The same for words that are joined by line feeds, which stay.
+LATIN_LINES = re.compile(f"{LATIN.pattern}|\n")
 #: Characters at which str.split() cuts and the tokenizer doesn't.
 NO_GAP = re.compile("[\x1c-\x1f]")
 PIECE, LONG = 1 << 20, 256
 #: Bytes that a table of what is known may hold, about, and those of an entry besides its key and value.
 KNOWN, ENTRY = 1 << 25, 160
+#: Words that are held until the ids of the distinct ones are looked up together.
+HELD = 1 << 21
 
 
 class Known(dict):
@@ -55,9 +64,8 @@ class PreTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        #: By pre-token its ids, by word between white space those of its pre-tokens.
-        self.ids = Known(lambda t: b"".join(x.id.to_bytes(4, "little") for x in self._split(t)))
-        self.word_ids = Known(lambda w: b"".join(map(self.ids.__getitem__, LATIN.findall(w))))
+        #: By pre-token its ids, as little-endian unsigned 32-bit integers.
+        self.ids = Known(self._ids)
 
     @staticmethod
     def at(path: str) -> PreTokens:
@@ -68,6 +76,10 @@ class PreTokens:
     def _split(self, token: str):
         return self.tokenizer.model.tokenize("".join(map(ALPHABET.__getitem__, token.encode())))
 
+    def _ids(self, token: str) -> bytes:
+        found = [x.id for x in self._split(token)]
+        return struct.pack(f"<{len(found)}I", *found)
+
     def has_special(self, text: str) -> bool:
         return any(x in text for x in self.special)
 
@@ -99,13 +111,67 @@ class PreTokens:
     def n_pieces(self, token: str) -> int:
         return len(self._split(token))
 
-    def id_bytes(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if (ids := self.whole(text)) is not None:
-            return b"".join(x.to_bytes(4, "little") for x in ids)
-        return b"".join(
-            b"".join(map((self.word_ids if words else self.ids).__getitem__, part)) for words, part in self.cut(text)
-        )
+    def id_bytes(self, texts):
+        """For each text its ids as little-endian unsigned 32-bit integers. Words and pre-tokens are numbered as they
+        come, and HELD of them at a time (or a long text's part) are looked up, each distinct one once."""
+        words, tokens = (defaultdict(count().__next__) for _ in range(2))
+        held, n = [], 0  # by text its parts: bytes, or (whether words, their numbers)
+
+        def looked_up():
+            of_words, of_tokens = self._word_ids(list(words)), self._token_ids(list(tokens))
+            for parts in held:
+                yield b"".join(
+                    p if isinstance(p, bytes) else gathered(*(of_words if p[0] else of_tokens), p[1])[0].tobytes() for p in parts
+                )
+            for x in (words, tokens):
+                x.clear()
+                x.default_factory = count().__next__
+            held.clear()
+
+        for text in texts:
+            if not text:
+                held.append([])
+            elif (ids := self.whole(text)) is not None:
+                held.append([struct.pack(f"<{len(ids)}I", *ids)])
+            else:
+                held.append([])
+                for of_words, part in self.cut(text):
+                    index = words if of_words else tokens
+                    held[-1].append((of_words, np.fromiter(map(index.__getitem__, part), np.int32, len(part))))
+                    n += len(part)
+            if n >= HELD:
+                yield from looked_up()
+                n = 0
+        yield from looked_up()
+
+    def _token_ids(self, tokens: list[str]):
+        """Ids of pre-tokens, one after another, and the n + 1 offsets."""
+        found = list(map(self.ids.__getitem__, tokens))
+        return np.frombuffer(b"".join(found), "<u4"), offsets_of(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+
+    def _word_ids(self, words: list[str]):
+        """Ids of words between white space, one after another, and the n + 1 offsets."""
+        tokens = defaultdict(count(1).__next__, {"\n": 0})
+        cut = LATIN_LINES.findall("\n".join([*words, ""]))
+        cut = np.fromiter(map(tokens.__getitem__, cut), np.int32, len(cut))
+        ends = np.flatnonzero(cut == 0)
+        flat, at = self._token_ids(list(tokens)[1:])
+        ids, lengths = gathered(flat, at, cut[cut > 0] - 1)
+        whole = offsets_of(lengths)
+        return ids, np.concatenate([[0], whole[ends - np.arange(len(ends))]])
+
+
+def offsets_of(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+
+
+def gathered(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray):
+    """The ranges of `flat` with these numbers, one after another, and their lengths."""
+    start = offsets[which]
+    lengths = offsets[which + 1] - start
+    place = np.repeat(start - offsets_of(lengths)[:-1], lengths)
+    place += np.arange(len(place))
+    return flat[place], lengths
 
 
 #: Python workers serve many tasks; what is known stays with them.

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from graphloom.llm import pretokens
 from graphloom.llm.chat import compiled, format_conversations, parts, read_back, turns
 from graphloom.llm.packing import first_fit_decreasing, pack
 from graphloom.llm.registry import OP7_SQL, tokenizer_path
@@ -33,6 +34,16 @@ def test_counts(make, odd, empty, corpus, ids, frequent):
     assert token_counts(empty, tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 50, 1 << 20])
+def test_ids_of_any_number_of_texts_at_a_time(corpus, ids, held, monkeypatch):
+    monkeypatch.setattr(pretokens, "HELD", held)
+    monkeypatch.setattr(pretokens, "PIECE", 200)
+    texts = [*corpus, *STRANGE, None, "", " \n ", "same same", "same same"]
+    found = list(pretokens.PreTokens(tokenizer_path()).id_bytes(texts))
+    assert found == [np.array(ids(t), "<u4").tobytes() for t in texts]
+    assert list(pretokens.PreTokens(tokenizer_path()).id_bytes([])) == []
+
+
 def test_packing(make, odd, empty, corpus, ids):
     docs = make(corpus + STRANGE, range(100, 100 + len(corpus) + len(STRANGE))).unionByName(odd)
     rows = pack(docs, tokenizer_path(), capacity=256, group=20).collect()
