@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_digest
 
 from graphloom.llm.common import record_batches
 from graphloom.llm.pretokens import Known, forget
@@ -23,31 +24,24 @@ FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 3000, 6000, 32_000_000
 UNTRAINED = 0.25
 #: Words in a window, bytes in a dictionary.
 WINDOW, DICTIONARY = 12, 1 << 15
-CODE, PREFIXES = 8, (3, 5)
+CODE, PREFIXES = 8, ((3, "3"), (5, "5"))
 #: Least log odds ratio, less so many standard errors, of what tells toxic text.
 ODDS, ERRORS = 1.0, 2.5
 
 
 def units(word: str) -> list[str]:
     """A word and its beginnings, each marked with its length."""
-    return [f"{n}{word[:n]}" for n in PREFIXES if len(word) > n] + ["=" + word]
+    return [mark + word[:n] for n, mark in PREFIXES if len(word) > n] + ["=" + word]
 
 
 def digest_of(unit: str) -> bytes:
-    return hashlib.blake2b(unit.encode(), digest_size=CODE).digest()
+    return xxh3_64_digest(unit.encode())
 
 
-def code(word: str, prefix=digest_of) -> bytes:
+def code(word: str) -> bytes:
     """A word's spelling for the compressor. zstandard gains nothing from matches of a few bytes, so that a short
     word known to a dictionary would cost as much as an unknown one; of codes of fixed length it spares most."""
-    *first, whole = units(word)
-    return b"".join(map(prefix, first)) + digest_of(whole)
-
-
-def known_codes() -> Known:
-    """Codes by word; beginnings, which are few, have a table of their own."""
-    prefixes = Known(digest_of)
-    return Known(lambda word: code(word, prefixes.__getitem__))
+    return b"".join(map(digest_of, units(word)))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -88,7 +82,7 @@ class Model:
     def scorer(self):
         if not self.toxic:
             return lambda text: self.weights[0]
-        toxic, ordinary, codes = Lengths(self.toxic), Lengths(self.ordinary), known_codes()
+        toxic, ordinary, codes = Lengths(self.toxic), Lengths(self.ordinary), Known(code)
 
         def score(text: str | None) -> float:
             x = features(margins(words_of(text), toxic, ordinary, codes))
@@ -123,7 +117,7 @@ def raw_dictionary(counts: Counter, first: list[str], size: int, without=()) ->
     the best come last, where zstandard reaches them at the least cost."""
     best = dict.fromkeys(first) | dict.fromkeys(u for u, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])))
     chosen = [u for u in best if u not in without][: size // CODE]
-    return b"".join(hashlib.blake2b(u.encode(), digest_size=CODE).digest() for u in reversed(chosen))
+    return b"".join(map(digest_of, reversed(chosen)))
 
 
 def unit_counts(vocabulary: list[str], times: np.ndarray) -> Counter:
@@ -183,7 +177,7 @@ def train(rows: list[tuple[int, str | None, int]]) -> Model:
     del both, docs, vocabulary
     if not model.toxic or not model.ordinary:
         return constant
-    lengths, codes = (Lengths(model.toxic), Lengths(model.ordinary)), known_codes()
+    lengths, codes = (Lengths(model.toxic), Lengths(model.ordinary)), Known(code)
     held = sorted(set(range(len(rows))) - set(made))
     x = np.array([features(margins(words_of(rows[i][1]), *lengths, codes)) for i in held])
     y = np.array([rows[i][2] for i in held], float)
