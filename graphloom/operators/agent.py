@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.operators.entities import ranked
 
@@ -60,8 +59,19 @@ def compress_reasoning(text: str, markers: tuple[str, ...] = (BEGIN, END)) -> st
     return "\n\n".join(out)
 
 
-def compressed(text: Column) -> Column:
-    return F.udf(lambda s: None if s is None else compress_reasoning(s), T.StringType(), useArrow=True)(text)
+def compressed(text: Column, markers: tuple[str, ...] = (BEGIN, END)) -> Column:
+    """compress_reasoning() as an expression: a line that isn't kept becomes "..." if the one before it is."""
+    parts = F.transform(F.split(text, "\n"), lambda line, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), line))
+
+    def kept(part, i):
+        out = (i == 0) | (i >= F.size(parts) - 4)
+        for m in markers:
+            out = out | F.contains(part, F.lit(m))
+        return out
+
+    short = lambda part, i: F.when(kept(part, i), part).when(kept(F.element_at(parts, F.greatest(i, F.lit(1))), i - 1), F.lit("..."))
+    chosen = F.when(F.size(parts) <= 5, parts).otherwise(F.filter(F.transform(parts, short), lambda p: p.isNotNull()))
+    return F.array_join(chosen, "\n\n")
 
 
 def paragraphs(text: Column, least: int = 20) -> Column:

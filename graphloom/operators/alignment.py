@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,6 +164,68 @@ def overall(entity_scores: Column, relation_scores: Column) -> Column:
     return F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda a, b: a + b) / F.size(both)).otherwise(0.0)
 
 
+@dataclass
+class Alignments:
+    """entities(step_id, segment_id, segment, id, text, type, context, kind, score, rank), relations(step_id, segment_id,
+    segment, predicate, subject, object, score), steps(step_id, n_entities, n_relations, confidence)."""
+
+    entities: DataFrame
+    relations: DataFrame
+    steps: DataFrame
+
+
+def keywords(predicate: Column) -> Column:
+    known = F.create_map(*(x for p, found in RELATION_KEYWORDS.items() for x in (F.lit(p), F.array(*map(F.lit, found)))))
+    return F.coalesce(F.element_at(known, predicate), F.array(predicate))
+
+
+def align_steps(steps: DataFrame, nodes: DataFrame, relations: DataFrame, k: int = PER_STEP) -> Alignments:
+    """Aligns each of steps(step_id, text, predicates: array) to nodes(id, text, type, context) and to relations(subject,
+    predicate, object, confidence); a step without text has no segments.
+
+    Every segment is matched to nodes in the three ways; of one segment text and node the best counts, then the k best of
+    a step, ties by segment, way (exact, partial, semantic) and id. Relations are those of each of the step's predicates
+    whose keywords a segment holds. The steps' counts and confidences come from sums by predicate, so that a predicate
+    with very many relations isn't multiplied out unless `relations` is read.
+    """
+    from graphloom.operators.graph import settled
+
+    rows = settled(segment_rows(steps.select(F.col("step_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))))
+    own = rows.groupBy("doc_id", "segment").agg(F.min("segment_id").alias("segment_id")).select("doc_id", "segment_id", "segment")
+    ways = (("exact", align_exact), ("partial", align_jaccard), ("semantic", align_tfidf))
+    found = None
+    for i, (kind, way) in enumerate(ways):
+        each = way(own, nodes).withColumns({"way": F.lit(i), "kind": F.lit(kind)})
+        found = each if found is None else found.unionByName(each)
+    best = found.groupBy("doc_id", "segment_id", "id").agg(F.min(F.struct((-F.col("score")).alias("s"), "way", "kind")).alias("b"))
+    best = best.select("doc_id", "segment_id", "id", (-F.col("b.s")).alias("score"), "b.way", "b.kind")
+    best = settled(ranked(best, ["doc_id"], [F.desc("score"), "segment_id", "way", "id"], k))
+    entities = best.join(rows, ["doc_id", "segment_id"]).join(nodes.select("id", "text", "type", "context"), "id")
+    entities = entities.select(F.col("doc_id").alias("step_id"), "segment_id", "segment", "id", "text", "type", "context", "kind", "score", "rank")
+    asked = rows.withColumnRenamed("doc_id", "step_id").join(steps.select("step_id", F.explode("predicates").alias("predicate")), "step_id")
+    hits = asked.where(F.exists(keywords(F.col("predicate")), lambda w: F.contains(F.lower("segment"), w)))
+    by_predicate = relations.groupBy("predicate").agg(F.count("*").alias("n"), F.sum("confidence").alias("total"))
+    related = hits.join(by_predicate, "predicate").groupBy("step_id").agg(F.sum("n").alias("n_relations"), F.sum("total").alias("r"))
+    linked = best.groupBy(F.col("doc_id").alias("step_id")).agg(F.count("*").alias("n_entities"), F.sum("score").alias("e"))
+    each = steps.select("step_id").join(linked, "step_id", "left").join(related, "step_id", "left").na.fill(0)
+    n = F.col("n_entities") + F.col("n_relations")
+    confidence = F.when(n > 0, F.round((F.col("e") + F.col("r")) / n, 6)).otherwise(0.0)
+    met = hits.join(relations.select("predicate", "subject", "object", F.col("confidence").alias("score")), "predicate")
+    met = met.select("step_id", "segment_id", "segment", "predicate", "subject", "object", "score")
+    return Alignments(entities, met, each.select("step_id", "n_entities", "n_relations", confidence.alias("confidence")))
+
+
+def align_path(path: DataFrame, texts: DataFrame, nodes: DataFrame, relations: DataFrame) -> Alignments:
+    """The same for the steps of a path(step_id, predicates) and their texts(step_id, text), matched by their number; a
+    step without a text is aligned to none."""
+    return align_steps(path.join(texts.select("step_id", "text"), "step_id", "left"), nodes, relations)
+
+
+def edges_to_draw(found: Alignments) -> DataFrame:
+    """step_id, source, target, label, score, segment of the aligned relations."""
+    return found.relations.select("step_id", F.col("subject").alias("source"), F.col("object").alias("target"), F.col("predicate").alias("label"), "score", "segment")
+
+
 def alignment_quality(steps: DataFrame) -> DataFrame:
     """Of steps(step, n_entities, n_relations, confidence): mean confidence, alignments per step, share of steps with any."""
     return steps.agg(

@@ -7,21 +7,33 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.entities import extract_entities, merge_entities
+from graphloom.operators.entities import extract_entities, merge_entities, ranked
 from graphloom.operators.relations import extract_relations
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df as a table in the folder that the cluster shares (spark.checkpoint.dir), for loops and for what is read
-    more than once; lost executors then cost no history. A local folder serves only where none is named."""
+    more than once; lost executors then cost no history. A local folder serves only where Spark is local too."""
     spark = df.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
-    path = f"{top}/graph-{uuid.uuid4().hex}"
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+    path = f"{top or os.path.join(tempfile.gettempdir(), 'graphloom-checkpoints')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that settled() wrote and no plan reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @dataclass
@@ -115,17 +127,19 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     so rounds follow the logarithm of the longest path."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = settled(both.distinct())
-    labels = settled(nodes.select("id", F.col("id").alias("component")))
+    state = settled(nodes.select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("was"), F.col("id").alias("component")))
     while True:
+        labels = state.select("id", "component")
         around = both.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst")
         around = around.groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
         new = labels.join(around, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "c").alias("component"))
         up = new.select(F.col("id").alias("component"), F.col("component").alias("up"))
         new = settled(new.join(up, "component").select("id", "was", F.least("component", "up").alias("component")))
-        changed = not new.where("was <> component").isEmpty()
-        labels = new.select("id", "component")
-        if not changed:
-            return labels
+        forget(state)
+        state = new
+        if new.where("was <> component").isEmpty():
+            forget(both)
+            return new.select("id", "component")
 
 
 def is_weakly_connected(nodes: DataFrame, edges: DataFrame) -> bool:
@@ -199,5 +213,112 @@ def multi_hop(edges: DataFrame, starts: DataFrame, chain: list[str | None], max_
     return walks.withColumn("hops", F.lit(len(chain)))
 
 
-def graph_of_edges(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> Graph:
-    return Graph(nodes, spark.createDataFrame([], "subject string, predicate string, object string"), edges)
+def find_paths(edges: DataFrame, pairs: DataFrame, max_length: int = 5, most: int = 10) -> DataFrame:
+    """a, b, rank, path (array of src, predicate, dst) for pairs(a, b): the shortest directed path of at most
+    max_length edges, of several the one whose edges come first (edge_seq, then dst); where a = b up to `most` cycles,
+    the shortest first, each the first path to a node and an edge back.
+
+    Breadth first from all starts at once: a node is expanded once for each start, by its first path, so the frontier
+    holds at most a row for each start and node.
+    """
+    pairs = pairs.select("a", "b").distinct()
+    hop = edges.select(
+        F.col("src").alias("at"), F.struct("edge_seq", "dst").alias("order"), F.struct("src", "predicate", "dst").alias("edge"), "dst"
+    )
+    first = pairs.select("a").distinct()
+    order, edge = hop.schema["order"].dataType.simpleString(), hop.schema["edge"].dataType.simpleString()
+    none = [F.array().cast(f"array<{order}>").alias("orders"), F.array().cast(f"array<{edge}>").alias("path")]
+    frontier, seen, found = first.select("a", F.col("a").alias("at"), *none), first.select("a", F.col("a").alias("at")), None
+    for _ in range(max_length):
+        next_ = frontier.join(hop, "at").select("a", F.col("dst").alias("at"), F.concat("orders", F.array("order")).alias("orders"), F.concat("path", F.array("edge")).alias("path"))
+        next_ = settled(next_)
+        cycles = next_.where("a = at").select("a", "orders", "path", F.col("a").alias("b"))
+        new = next_.join(seen, ["a", "at"], "left_anti").groupBy("a", "at").agg(F.min(F.struct("orders", "path")).alias("p"))
+        frontier = settled(new.select("a", "at", "p.orders", "p.path"))
+        here = frontier.select("a", "orders", "path", F.col("at").alias("b")).unionByName(cycles).join(pairs, ["a", "b"], "left_semi")
+        found = here if found is None else found.unionByName(here)
+        seen = seen.unionByName(frontier.select("a", "at"))
+        if frontier.isEmpty():
+            break
+    return ranked(found.withColumn("n_edges", F.size("path")), ["a", "b"], ["n_edges", "orders"], most).select("a", "b", "rank", "path")
+
+
+def query_paths(nodes: DataFrame, edges: DataFrame, query: str, cutoff: int = 5) -> DataFrame:
+    """path_id, length (in nodes), path (array of from, predicate, to, confidence, with the nodes' texts) for a query
+    "A -> B": the simple directed paths from the node named A to that named B. A query of another form, or a name that
+    no node has, gives none."""
+    parts = [x.strip().lower() for x in query.split("->")]
+    if len(parts) != 2:
+        parts = ["", ""]
+        nodes = nodes.limit(0)
+    name = F.lower(F.trim("text"))
+    end = lambda x: nodes.where(name == x).select("id").limit(1)
+    paths = simple_paths(edges, end(parts[0]), end(parts[1]), cutoff).withColumn("path_id", F.array_join("path", ">"))
+    steps = paths.select("path_id", "length", F.posexplode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("s"), F.slice("path", 2, F.size("path") - 1).alias("d"))).alias("i", "e"))
+    steps = steps.select("path_id", "length", "i", F.col("e.s").alias("src"), F.col("e.d").alias("dst")).join(edges.select("src", "dst", "predicate", "confidence"), ["src", "dst"])
+    for side, to in (("src", "from"), ("dst", "to")):
+        steps = steps.join(nodes.select(F.col("id").alias(side), F.col("text").alias(to)), side)
+    step = F.array_sort(F.collect_list(F.struct("i", "from", "predicate", "to", "confidence")))
+    drop = lambda s: F.struct(*(s[c].alias(c) for c in ("from", "predicate", "to", "confidence")))
+    return steps.groupBy("path_id", "length").agg(F.transform(step, drop).alias("path"))
+
+
+def entities_with_relations(nodes: DataFrame, relations: DataFrame, query: str) -> DataFrame:
+    """id, text, type, subject, predicate, object: a row for each found node and each relation that has its text, as it
+    is, as subject or object; one with nulls for a node without any."""
+    found = query_entities(nodes, query).select("id", "text", "type")
+    rows = relations_of_entities(found, relations).select("doc_id", "seq", "subject", "predicate", "object")
+    sides = rows.withColumn("text", F.explode(F.array_distinct(F.array("subject", "object"))))
+    return found.join(sides, "text", "left").select("id", "text", "type", "doc_id", "seq", "subject", "predicate", "object")
+
+
+def query_graph(graph: Graph, query: str, kind: str = "entity") -> DataFrame:
+    """The answer of the lookup of this kind: entity, relation or path ("A -> B")."""
+    if kind == "entity":
+        return entities_with_relations(graph.nodes, graph.relations, query.strip())
+    if kind == "relation":
+        return query_relations(graph.relations, query.strip())
+    if kind == "path":
+        return query_paths(graph.nodes, graph.edges, query)
+    raise ValueError(f"no queries of kind {kind}")
+
+
+# Reports
+
+
+def graph_statistics(nodes: DataFrame, relations: DataFrame, edges: DataFrame) -> DataFrame:
+    """statistic, name, value: counts, density, weak connectivity (1 or 0; null for a graph without nodes), histograms
+    of types and predicates, and the degrees' mean, median, maximum and minimum. A row for each, so that the table has
+    as many rows as there are types and predicates."""
+    row = lambda statistic, value, name="": F.struct(F.lit(statistic).alias("statistic"), F.lit(name).alias("name"), value.cast("double").alias("value"))
+
+    def spread(df, *rows):
+        return df.select(F.inline(F.array(*rows)))
+
+    parts = weak_components(nodes, edges).agg(F.countDistinct("component").alias("n"))
+    degree = degree_statistics(nodes, edges)
+    n = F.col("n")
+    return (
+        spread(density(nodes, edges), row("num_entities", F.col("n_nodes")), row("num_nodes", F.col("n_nodes")), row("num_edges", F.col("n_edges")), row("density", F.col("density")))
+        .unionByName(spread(relations.agg(F.count("*").alias("n")), row("num_relations", n)))
+        .unionByName(spread(parts, row("is_connected", F.when(n > 0, (n == 1).cast("int")))))
+        .unionByName(spread(degree, *(row("degree", F.col(f"{x}_degree"), x) for x in ("mean", "median", "max", "min"))))
+        .unionByName(histogram(nodes, "type", "entity_type")).unionByName(histogram(relations, "predicate", "relation_type"))
+    )
+
+
+def histogram(rows: DataFrame, column: str, statistic: str) -> DataFrame:
+    return rows.groupBy(F.col(column).alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit(statistic).alias("statistic"), "name", "value")
+
+
+def extraction_statistics(docs: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """statistic, name, value of an extraction: totals, both histograms and the number of documents. The totals are sums
+    of the histograms, so each table is read once."""
+    kinds, predicates = histogram(entities, "type", "entity_type"), histogram(relations, "predicate", "relation_type")
+    total = lambda df, name: df.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")).select(F.lit(name).alias("statistic"), F.lit("").alias("name"), "value")
+    both = settled(kinds.unionByName(predicates))
+    return (
+        both.unionByName(total(both.where("statistic = 'entity_type'"), "total_entities"))
+        .unionByName(total(both.where("statistic = 'relation_type'"), "total_relations"))
+        .unionByName(docs.agg(F.count("*").cast("double").alias("value")).select(F.lit("documents_processed").alias("statistic"), F.lit("").alias("name"), "value"))
+    )

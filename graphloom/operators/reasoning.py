@@ -86,11 +86,12 @@ def relations_by_type(pairs: DataFrame, spark: SparkSession) -> DataFrame:
 
 def predict_relations(pairs: DataFrame, edges: DataFrame, least: float = 0.5, top_k: int = 5) -> DataFrame:
     """The known relations of each pair(a, b, type_a, type_b, similarity); for pairs without any and a similarity
-    above `least`, those of their types; the best five."""
+    above `least`, those of their types; the best five. Scores have 12 decimal places."""
     spark = pairs.sparkSession
     known = known_relations(edges, pairs.select("a", "b"))
     rest = pairs.where(F.col("similarity") > least).join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    return ranked(known.unionByName(relations_by_type(rest, spark)), ["a", "b"], [F.desc("score"), "predicate"], top_k)
+    found = ranked(known.unionByName(relations_by_type(rest, spark)), ["a", "b"], [F.desc("score"), "predicate"], top_k)
+    return found.withColumn("score", F.round("score", 12))
 
 
 def answer_questions(questions: DataFrame, nodes: DataFrame, relations: DataFrame, max_steps: int = 10) -> DataFrame:
@@ -135,3 +136,24 @@ def path_steps(paths: DataFrame) -> DataFrame:
         i.alias("step_id"), F.array(t["src"], t["dst"]).alias("entities"), F.array(t["predicate"]).alias("relations"), F.lit(0.8).alias("confidence")
     )
     return paths.withColumn("steps", F.transform("path", each))
+
+
+def next_entities(visited: DataFrame, links: DataFrame, similar: DataFrame) -> DataFrame:
+    """q_id, id of the entity to look at next: the best of links(q_id, id, rank) that isn't in visited(q_id, id), else the
+    most similar one, of similar(target, id, rank), to the entity visited last (the greatest step of visited)."""
+    new = links.join(visited.select("q_id", "id"), ["q_id", "id"], "left_anti").groupBy("q_id").agg(F.min_by("id", F.struct("rank", "id")).alias("id"))
+    last = visited.groupBy("q_id").agg(F.max_by("id", F.struct("step", "id")).alias("target"))
+    rest = last.join(new, "q_id", "left_anti").join(similar, "target").join(visited.select("q_id", "id"), ["q_id", "id"], "left_anti")
+    return new.unionByName(rest.groupBy("q_id").agg(F.min_by("id", F.struct("rank", "id")).alias("id")))
+
+
+def knowledge_report(questions: DataFrame, nodes: DataFrame, relations: DataFrame, edges: DataFrame) -> DataFrame:
+    """q_id, report: the question, its answer and confidence, the step's entity and predicates, and the graph's counts,
+    which are one row that every report shares."""
+    found = answer_questions(questions, nodes, relations).join(questions, "q_id")
+    found = found.join(nodes.select(F.col("id").alias("entity"), "text"), "entity", "left")
+    counts = nodes.agg(F.count("*").alias("n_nodes")).join(relations.agg(F.count("*").alias("n_relations"))).join(edges.agg(F.count("*").alias("n_edges")))
+    step = F.concat(F.lit("\nStep 1: "), "text", F.lit(" ("), F.array_join("predicates", ", "), F.lit(")"))
+    line = F.format_string("\n%d entities, %d relations, %d edges", "n_nodes", "n_relations", "n_edges")
+    head = F.concat(F.lit("Question: "), "question", F.lit("\nAnswer: "), "answer", F.format_string("\nConfidence: %.2f", "confidence"))
+    return found.join(F.broadcast(counts)).select("q_id", F.concat(head, F.coalesce(step, F.lit("")), line).alias("report"))

@@ -246,7 +246,8 @@ def align_exact(spark, sf_dir):
     return al.align_exact(segment_text(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
-EXACT = f"""WITH {segments_sql('documents')}, {ITEMS},
+def exact_sql(source: str) -> str:
+    return f"""WITH {source},
 l AS (SELECT doc_id, segment_id, lower(trim(segment)) AS s FROM seg), r AS (SELECT id, lower(trim(text)) AS e FROM nodes)
 SELECT doc_id, segment_id, id, 1.0::DOUBLE AS score FROM l JOIN r ON s = e
 UNION ALL
@@ -254,11 +255,15 @@ SELECT doc_id, segment_id, id, round(least(length(s), length(e)) / greatest(leng
   ON s <> e AND least(length(s), length(e)) >= 0.9::DOUBLE * greatest(length(s), length(e)) AND (contains(s, e) OR contains(e, s))"""
 
 
+EXACT = exact_sql(f"{segments_sql('documents')}, {ITEMS}")
+
+
 def align_jaccard(spark, sf_dir):
     return al.align_jaccard(segment_text(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
-JACCARD = rf"""WITH {segments_sql('documents')}, {ITEMS},
+def jaccard_sql(source: str) -> str:
+    return rf"""WITH {source},
 l AS (SELECT doc_id, segment_id, list_distinct(list_filter(regexp_split_to_array(lower(segment), '\s+'), lambda w: w <> '')) AS x FROM seg),
 r AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS y FROM nodes),
 p AS (SELECT doc_id, segment_id, id, len(x) AS n, len(y) AS m, count(*) AS b
@@ -266,6 +271,9 @@ p AS (SELECT doc_id, segment_id, id, len(x) AS n, len(y) AS m, count(*) AS b
 SELECT doc_id, segment_id, id, round(b / (n + m - b), 9) AS score FROM p WHERE round(b / (n + m - b), 9) >= 0.6"""
 
 
+JACCARD = jaccard_sql(f"{segments_sql('documents')}, {ITEMS}")
+
+
 def align_tfidf(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     nodes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit("").alias("context"))
@@ -319,6 +327,60 @@ RELATION_HITS = f"""WITH {segments_sql('documents')}
 SELECT doc_id, 'is_a' AS predicate, count(*) * (SELECT count(*) FROM nation) AS n FROM seg
 WHERE {' OR '.join(f"contains(lower(segment), '{w}')" for w in al.RELATION_KEYWORDS['is_a'])} GROUP BY doc_id"""
 
+def steps(spark, sf_dir):
+    """All that aligning the turns of the conversations to the benchmark items and to the nations' facts yields."""
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("step_id"), "text")
+    asked = F.when(F.col("step_id") % 2 == 0, F.array(F.lit("is_a"), F.lit("causes"))).otherwise(F.array(F.lit("located_in")))
+    nodes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit("CONCEPT").alias("type"), F.lit("").alias("context"))
+    facts = read(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("subject"), F.when(F.col("n_nationkey") % 5 == 0, "located_in").otherwise("is_a").alias("predicate"), F.lit("NATION").alias("object"), F.lit(0.75).alias("confidence")
+    )
+    return al.align_path(turns.select("step_id", asked.alias("predicates")), turns, nodes, facts)
+
+
+def align_step_entities(spark, sf_dir):
+    return steps(spark, sf_dir).entities.select("step_id", "segment_id", "id", "kind", "score", "rank")
+
+
+def align_step_edges(spark, sf_dir):
+    return al.edges_to_draw(steps(spark, sf_dir)).drop("segment")
+
+
+def align_step_summary(spark, sf_dir):
+    return steps(spark, sf_dir).steps
+
+
+TURNS = segments_sql("(SELECT conv_id * 1000 + turn AS doc_id, coalesce(text, '') AS text FROM conversations)")
+WHOLE = TURNS + ", nodes AS (SELECT item_id AS id, text FROM benchmark)"
+ALIGNED = f"""exact AS ({exact_sql(WHOLE)}), partial AS ({jaccard_sql(WHOLE)}), semantic AS ({TFIDF}), {TURNS},
+every_way AS (SELECT *, 0 AS way, 'exact' AS kind FROM exact UNION ALL SELECT *, 1, 'partial' FROM partial UNION ALL SELECT *, 2, 'semantic' FROM semantic),
+of_text AS (SELECT *, row_number() OVER (PARTITION BY doc_id, segment, id ORDER BY score DESC, segment_id, way) AS r FROM every_way JOIN seg USING (doc_id, segment_id)),
+aligned AS (SELECT doc_id AS step_id, segment_id, id, kind, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, segment_id, way, id) AS rank FROM of_text WHERE r = 1 QUALIFY rank <= 5)"""
+STEP_FACTS = f"""facts AS (SELECT n_name AS subject, CASE WHEN n_nationkey % 5 = 0 THEN 'located_in' ELSE 'is_a' END AS predicate, 'NATION' AS object FROM nation),
+words AS (SELECT * FROM (VALUES {', '.join(f"('{p}', '{w}')" for p in ('is_a', 'causes', 'located_in') for w in al.RELATION_KEYWORDS[p])}) AS t(predicate, word)),
+hits AS (SELECT DISTINCT doc_id AS step_id, segment_id, predicate FROM seg JOIN words ON contains(lower(segment), word) AND (predicate = 'located_in') = (doc_id % 2 = 1))"""
+STEP_EDGES = f"""WITH {TURNS}, {STEP_FACTS}
+SELECT step_id, subject AS source, object AS target, predicate AS label, 0.75::DOUBLE AS score FROM hits JOIN facts USING (predicate)"""
+STEP_SUMMARY = f"""WITH {ALIGNED}, {STEP_FACTS},
+related AS (SELECT step_id, count(*) AS r, count(*) * 0.75::DOUBLE AS rs FROM hits JOIN facts USING (predicate) GROUP BY 1),
+linked AS (SELECT step_id, count(*) AS e, sum(score) AS es FROM aligned GROUP BY 1)
+SELECT conv_id * 1000 + turn AS step_id, coalesce(e, 0) AS n_entities, coalesce(r, 0) AS n_relations,
+  CASE WHEN e IS NULL AND r IS NULL THEN 0.0 ELSE round((coalesce(es, 0) + coalesce(rs, 0)) / (coalesce(e, 0) + coalesce(r, 0)), 6) END::DOUBLE AS confidence
+FROM conversations LEFT JOIN related ON related.step_id = conv_id * 1000 + turn LEFT JOIN linked ON linked.step_id = conv_id * 1000 + turn"""
+
+
+def extraction_statistics(spark, sf_dir):
+    from graphloom.operators import graph
+
+    docs = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return graph.extraction_statistics(docs, en.first_mentions(en.mentions(docs)), re_.candidates(docs))
+
+
+EXTRACTED = f"""WITH talk AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations), {mentions_sql('talk')}, {FIRST}, {candidates_sql().replace('FROM documents', 'FROM talk')}
+SELECT 'entity_type' AS statistic, type AS name, count(*)::DOUBLE AS value FROM first GROUP BY type UNION ALL SELECT 'relation_type', predicate, count(*)::DOUBLE FROM cand GROUP BY predicate
+UNION ALL SELECT 'total_entities', '', count(*)::DOUBLE FROM first UNION ALL SELECT 'total_relations', '', count(*)::DOUBLE FROM cand
+UNION ALL SELECT 'documents_processed', '', count(*)::DOUBLE FROM talk"""
+
 FOUND = {
     "entity_person": _of_type("PERSON"),
     "entity_org": _of_type("ORG"),
@@ -370,4 +432,8 @@ FOUND = {
     "align_tfidf": (align_tfidf, TFIDF),
     "align_quality": (align_quality, QUALITY),
     "align_relations": (align_relations, RELATION_HITS),
+    "align_step_entities": (align_step_entities, f"WITH {ALIGNED} SELECT * FROM aligned"),
+    "align_step_edges": (align_step_edges, STEP_EDGES),
+    "align_step_summary": (align_step_summary, STEP_SUMMARY),
+    "extraction_statistics": (extraction_statistics, EXTRACTED),
 }

@@ -159,3 +159,74 @@ def test_datasets(spark, tmp_path):
     rows = read_questions(spark, str(path)).orderBy("q_id").collect()
     assert [(r.question, r.answer, list(r.choices)) for r in rows] == [("q1", "a", []), ("q2", "B", ["x", "y"])]
     assert dataset_path("/d", "gpqa", "x") == "/d/GPQA/x.json"
+
+
+def reference_paths(edges, a, b, max_length=5, most=10):
+    """Breadth first with a queue, a node expanded at its first visit; edges in their order."""
+    queue, visited, found = [(a, ())], set(), []
+    while queue and len(found) < most:
+        at, path = queue.pop(0)
+        if at in visited and at != a:
+            continue
+        visited.add(at)
+        if at == b and path:
+            found.append(path)
+        elif len(path) < max_length:
+            queue += [(d, (*path, (s, p, d))) for s, d, p in edges if s == at and (d not in visited or d == b)]
+    return found
+
+
+def test_find_paths(spark, edges):
+    names = "abcdxyz"
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    got = {}
+    for r in sorted(graph.find_paths(edges, pairs).collect(), key=lambda r: r["rank"]):
+        got.setdefault((r.a, r.b), []).append(tuple(tuple(e) for e in r.path))
+    assert got == {(a, b): f for a in names for b in names if (f := reference_paths(EDGES, a, b))}
+    assert len(got["a", "a"]) == 1 and ("a", "z") not in got
+    assert graph.find_paths(edges, pairs.limit(0)).count() == 0
+    assert graph.find_paths(edges, pairs, max_length=1).count() == len(EDGES)
+
+
+def test_query_graph(spark, nodes, edges):
+    relations = spark.createDataFrame([(1, 0, "A", "is_a", "B"), (1, 1, "B", "is_a", "a"), (2, 0, "A", "is_a", "A")], "doc_id long, seq long, subject string, predicate string, object string")
+    g = graph.Graph(nodes, relations, edges)
+    paths = {r.path_id: r for r in graph.query_graph(g, " a ->D", "path").collect()}
+    assert {k: r.length for k, r in paths.items()} == {"a>b>c>d": 4, "a>c>d": 3}
+    assert [tuple(s) for s in paths["a>c>d"].path] == [("A", "causes", "C", 0.5), ("C", "is_a", "D", 0.5)]
+    for query in ("a", "a -> b -> c", "a -> nobody", "->"):
+        assert graph.query_graph(g, query, "path").count() == 0
+    found = sorted((r.id, r.doc_id, r.seq) for r in graph.query_graph(g, "a").collect())
+    assert found == [("a", 1, 0), ("a", 2, 0)]
+    assert [(r.id, r.subject) for r in graph.query_graph(g, "z").collect()] == [("z", None)]
+    assert graph.query_graph(g, "B", "relation").count() == 2
+    with pytest.raises(ValueError):
+        graph.query_graph(g, "a", "shape")
+
+
+def test_statistics(spark, nodes, edges):
+    values = {(r.statistic, r.name): r.value for r in graph.graph_statistics(nodes, edges, edges).collect()}
+    assert values["num_nodes", ""] == 7 and values["num_edges", ""] == 6 and values["is_connected", ""] == 0
+    assert values["relation_type", "is_a"] == 3 and values["degree", "min"] == 0
+    empty = {(r.statistic, r.name): r.value for r in graph.graph_statistics(nodes.limit(0), edges.limit(0), edges.limit(0)).collect()}
+    assert empty["is_connected", ""] is None and empty["density", ""] == 0
+
+
+def test_compressed(spark):
+    texts = ["", "a", "\n".join("abcde"), "\n".join("abcdefghi"), f"a\nb\n{agent.BEGIN}\nc\nd\ne\nf\ng\nh\n", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in rows.select("i", agent.compressed(rows.t).alias("c")).collect()}
+    assert got == {i: None if t is None else agent.compress_reasoning(t) for i, t in enumerate(texts)}
+
+
+def test_align_path(spark):
+    nodes = spark.createDataFrame([("e1", "red fox", "TECH", "x"), ("e2", "lazy dog", "ORG", "")], "id string, text string, type string, context string")
+    facts = spark.createDataFrame([("fox", "is_a", "animal", 0.5), ("dog", "is_a", "animal", 0.7), ("fox", "near", "dog", 1.0)], "subject string, predicate string, object string, confidence double")
+    path = spark.createDataFrame([(0, ["is_a"]), (1, ["near", "causes"]), (2, [])], "step_id long, predicates array<string>")
+    texts = spark.createDataFrame([(0, "red fox. red fox. this is it"), (1, "The LAZY dog; it is near")], "step_id long, text string")
+    found = al.align_path(path, texts, nodes, facts)
+    assert [(r.step_id, r.segment_id, r.id, r.kind, r.score) for r in found.entities.where("step_id = 0").collect()] == [(0, 0, "e1", "exact", 1.0)]
+    steps = {r.step_id: (r.n_entities, r.n_relations, r.confidence) for r in found.steps.collect()}
+    assert steps[0] == (1, 2, round((1 + 1.2) / 3, 6)) and steps[2] == (0, 0, 0.0)
+    assert steps[1][1] == 1
+    assert sorted((r.step_id, r.source, r.target) for r in al.edges_to_draw(found).collect()) == [(0, "dog", "animal"), (0, "fox", "animal"), (1, "fox", "dog")]
