@@ -18,23 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), a local one."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(
-        tempfile.gettempdir(), "graphloom-checkpoints"
-    )
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in that folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset and Spark is local (tests), a
+    local one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+    return named or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
 
 
 def text_key():
