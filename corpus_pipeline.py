@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import decontamination, near_dedup, packing, pii, toxicity
 from graphloom.llm.common import table
 from graphloom.llm.registry import tokenizer_path
-from graphloom.llm.repeats import written
+from graphloom.llm.repeats import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's table is dropped once the next one's is written; the last of them stays, as the
+    result reads it."""
+    docs, scratch, kept = table(spark, sf_dir, "documents"), Scratch(spark), []
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs)
+            docs = scratch.write(docs)
+            scratch.drop(*kept)
+            kept = [docs]
     return docs
