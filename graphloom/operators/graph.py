@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.entities import extract_entities, merge_entities, ranked
+from graphloom.operators.entities import entity_id, extract_entities, merge_entities, ranked
 from graphloom.operators.relations import extract_relations
 
 
@@ -75,9 +75,11 @@ def build_graph(docs: DataFrame) -> Graph:
 
 def merge_graphs(a: Graph, b: Graph) -> Graph:
     """One graph of both: nodes with one id are merged, their confidence weighted by mentions (so that the order of
-    updates doesn't matter), relations are kept as they are, edges built anew; documents add up."""
+    updates doesn't matter), relations are kept as they are, edges built anew; documents add up. Ids made of text and
+    type have 32 bits, which large graphs share by chance: such nodes are merged only if text and type are the same."""
     both = a.nodes.withColumn("side", F.lit(0)).unionByName(b.nodes.withColumn("side", F.lit(1)))
-    nodes = both.groupBy("id").agg(
+    made = F.when(F.col("id") == entity_id(F.col("text"), F.col("type")), F.struct("text", "type"))
+    nodes = both.groupBy("id", made.alias("made")).agg(
         F.min_by("key", "side").alias("key"),
         F.min(F.struct((-F.col("confidence")).alias("c"), "side", "text")).alias("t"),
         F.min_by("type", "side").alias("type"),

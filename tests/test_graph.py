@@ -138,6 +138,19 @@ def test_storage_round_trip(spark, tmp_path, kind):
         storage("pickle", spark, str(tmp_path))
 
 
+def test_merging_keeps_nodes_apart_whose_short_ids_meet(spark):
+    def made(*rows):
+        rows = [(t.lower(), i, t, "TECH", 0.6, "", n, (0, 0)) for i, t, n in rows]
+        nodes = spark.createDataFrame(rows, "key string, id string, text string, type string, confidence double, context string, n_mentions long, first struct<doc_id: long, seq: long>")
+        none = spark.createDataFrame([], "doc_id long, seq long, subject string, predicate string, object string, confidence double")
+        return graph.Graph(nodes, none, none)
+
+    met = "tech_60fae758"
+    a = made((met, "Chenberer", 1), (met, "Oiqueaieauquech", 2), ("own", "First", 3))
+    got = graph.merge_graphs(a, made((met, "Oiqueaieauquech", 4), ("own", "Second", 5))).nodes
+    assert sorted((r.id, r.text, r.n_mentions) for r in got.collect()) == [("own", "First", 8), (met, "Chenberer", 1), (met, "Oiqueaieauquech", 6)]
+
+
 def test_update_and_stream_equal_one_batch(spark, tmp_path):
     docs = spark.createDataFrame(DOCS[:2], "doc_id long, text string")
     whole = graph.build_graph(docs)
