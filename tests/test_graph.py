@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import agent, embeddings, graph, reasoning
 from graphloom.operators import alignment as al
+from graphloom.operators.entities import ranked
 from graphloom.sources.datasets import dataset_path, read_questions
 from graphloom.sources.storage import storage
 from graphloom.streaming.updates import GraphStream
@@ -138,6 +140,27 @@ def test_storage_round_trip(spark, tmp_path, kind):
         storage("pickle", spark, str(tmp_path))
 
 
+@pytest.mark.parametrize("asked", [1 << 14, 7])
+def test_similar_nodes_equal_all_pairs_without_joining_them(spark, monkeypatch, asked):
+    monkeypatch.setattr(embeddings, "ASKED", asked)
+    monkeypatch.setattr(embeddings, "SCORES", 1000)
+    rng = np.random.default_rng(5)
+    some = [rng.integers(-3, 4, 6).astype(float).tolist() for _ in range(200)]
+    odd = [None, [], [None] * 6, [1.0, None, 2.0, 0.0, 0.0, 1.0], [0.0] * 6, [1.0, 2.0], [3.0, 4.0], [float("nan")] * 6, [float("inf"), *[1.0] * 5], [1e-200] * 6, [1e200] * 6, [1e-90] * 6]
+    rows = [(i, v) for i, v in enumerate([*some, *[some[3]] * 30, *odd])] + [(0, some[1]), (None, some[2])]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    targets = vectors.where("id % 5 = 0 or id > 225")
+    got = embeddings.similar_nodes(vectors, targets, 4)
+    assert not any(x in got._jdf.queryExecution().toString() for x in ("NestedLoop", "Cartesian"))
+    pairs = vectors.crossJoin(targets.select(F.col("id").alias("target"), F.col("vec").alias("t"))).where("id <> target")
+    pairs = pairs.select("target", "id", F.round(embeddings.cosine(F.col("vec"), F.col("t")), 6).alias("score"))
+    expected = ranked(pairs, ["target"], [F.desc("score"), "id"], 4)
+    rows_of = lambda df: sorted(map(repr, df.select("target", "rank", "id", "score").collect()))
+    assert rows_of(got) == rows_of(expected)
+    named = lambda df: df.withColumn("id", F.format_string("é%s", "id"))
+    assert embeddings.similar_nodes(named(vectors), named(targets), 4).count() == expected.count()
+
+
 def test_merging_keeps_nodes_apart_whose_short_ids_meet(spark):
     def made(*rows):
         rows = [(t.lower(), i, t, "TECH", 0.6, "", n, (0, 0)) for i, t, n in rows]
