@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, chained, mix, raw, word_hashes
+from graphloom.llm.common import U64, chained, mix, raw, releasing, word_hashes
 from graphloom.llm.components import components, spread
 from graphloom.llm.pretokens import forget
 from graphloom.llm.repeats import Scratch, Sketch, bitmap
@@ -23,6 +23,8 @@ RANKS = 1 << 18
 #: Texts of a class, about, that others are compared with first.
 TURN = 32
 CHUNK_DOCS, CHUNK_WORDS = 2048, 1 << 18
+#: Bytes of text, about, whose words are hashed at once: their places take some twenty times as much.
+CHUNK_BYTES = 1 << 21
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -62,8 +64,16 @@ class Shingler:
     def chunks(self, column: pa.Array):
         """(first row, number of documents, document of each shingle, shingle), sorted, each shingle as often as it
         occurs. A document of fewer words has one shingle, of all its words."""
-        data, offsets = raw(column.fill_null(""))
-        words, offsets = word_hashes(data, offsets)
+        column = column.fill_null("")
+        ends, first = raw(column)[1], 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK_BYTES, "right")) - 1)
+            for lo, n, doc, shingle in self.parts(column.slice(first, last - first)):
+                yield first + lo, n, doc, shingle
+            first = last
+
+    def parts(self, column: pa.Array):
+        words, offsets = word_hashes(*raw(column))
         lo, n = 0, len(column)
         while lo < n:
             hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_WORDS, "right")) - 1
@@ -111,11 +121,12 @@ def bands(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * n_bands), values)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + some)), lists], ["h", "keys"])
 
-    return docs.select(text_id().alias("h"), "text").mapInArrow(run, "h binary, keys array<long>")
+    return docs.select(text_id().alias("h"), "text").mapInArrow(releasing(run), "h binary, keys array<long>")
 
 
-def among(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """(h, text) of those docs whose h may be in ids(h): a bitmap of fixed size spares the shuffle of other texts."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """(h, shingles): the set of each text's shingles, of those docs whose h may be in ids(h): a bitmap of fixed size spares
+    the shuffle of others."""
     sketch = Sketch(bits)
 
     def prefix(column):
@@ -125,25 +136,16 @@ def among(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
     present = bitmap(ids.select("h"), sketch, lambda batch: prefix(batch.column(0)))
     shared = docs.sparkSession.sparkContext.broadcast(present)
 
-    def keep(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(sketch.may_repeat(shared.value, prefix(batch.column(0)))))
-
-    return docs.select(text_id().alias("h"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(keep, "h binary, text string")
-
-
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(h, shingles): the set of each text's shingles."""
-
     def run(batches):
         shingler = Shingler()
         for batch in batches:
+            batch = batch.filter(pa.array(sketch.may_repeat(shared.value, prefix(batch.column(0)))))
             for lo, n, doc, shingle, _ in shingler.weighted(batch.column(1)):
                 bounds = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(shingle.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), lists], ["h", "shingles"])
 
-    return texts.mapInArrow(run, "h binary, shingles array<long>")
+    return docs.select(text_id().alias("h"), "text").mapInArrow(releasing(run), "h binary, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -205,7 +207,7 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = scratch.write(spread(keys, ends.select("key"), "key"))
     scratch.drop(signatures)
     texts = scratch.write(buckets.select("h").distinct())
-    sets = scratch.write(shingle_sets(among(docs, texts)).dropDuplicates(["h"]).join(texts, "h", "left_semi"))
+    sets = scratch.write(shingle_sets(docs, texts).dropDuplicates(["h"]).join(texts, "h", "left_semi"))
     labels = scratch.write(texts.withColumn("label", F.col("h")))
     links = tried = None
 
@@ -275,7 +277,7 @@ def shingle_ranks(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(times)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(times[at])], ["at", "times"])
 
-    found = sets.select("shingles").mapInArrow(count, "at long, times long").groupBy("at").agg(F.sum("times").alias("times"))
+    found = sets.select("shingles").mapInArrow(releasing(count), "at long, times long").groupBy("at").agg(F.sum("times").alias("times"))
     out, found = np.zeros(RANKS, np.int64), found.toArrow()
     out[found["at"].to_numpy()] = found["times"].to_numpy()
     return out
@@ -323,7 +325,7 @@ def rare_prefixes(texts: DataFrame, sets: DataFrame, similarity: float, scratch:
                 ["h", "s", "at", "size", "smaller", "turn"],
             )
 
-    return own.select("h", "shingles", "turn").mapInArrow(run, "h binary, s long, at long, size long, smaller boolean, turn int")
+    return own.select("h", "shingles", "turn").mapInArrow(releasing(run), "h binary, s long, at long, size long, smaller boolean, turn int")
 
 
 def rare_pairs(prefixes: DataFrame, labels: DataFrame, similarity: float, turn: int, scratch: Scratch) -> DataFrame:

@@ -304,3 +304,39 @@ def test_chi_square():
     own = np.random.default_rng(0).standard_normal((500, 64))
     ids, _, _ = Searcher(np.arange(500), own).nearest(3, own[3], 10)
     assert 3 not in ids and len(ids) == 10
+
+
+def test_shingles_of_a_large_batch_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from graphloom.llm import near_dedup
+
+    texts = [None, "", "a b c", *(" ".join(f"w{(i * j) % 997}" for j in range(400)) for i in range(4000))]
+    column, size = pa.array(texts), sum(len(t or "") for t in texts)
+    assert size > 3 * near_dedup.CHUNK_BYTES
+    parts = lambda: [(lo, n, *(x.tolist() for x in rest)) for lo, n, *rest in near_dedup.Shingler().weighted(column.slice(0, 60))]
+    row_wise = lambda found: [(lo + d, s, w) for lo, _, doc, shingle, times in found for d, s, w in zip(doc, shingle, times)]
+    whole = row_wise(parts())
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", 3000)
+    assert len(parts()) > 10 and row_wise(parts()) == whole
+    assert [lo for lo, *_ in parts()][1:] == [lo + n for lo, n, *_ in parts()][:-1]
+    monkeypatch.undo()
+    tracemalloc.start()
+    for _ in near_dedup.Shingler().weighted(column):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * size
+
+
+def test_workers_release_memory_after_a_task(monkeypatch):
+    from graphloom.llm import common
+
+    done = []
+    monkeypatch.setattr(common, "release", lambda: done.append(1))
+    run = common.releasing(lambda batches: (b + 1 for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 3] and done == [1]
+    monkeypatch.undo()
+    common.release()
