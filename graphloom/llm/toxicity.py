@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
-from graphloom.llm.common import record_batches
+from graphloom.llm.common import record_batches, releasing
 from graphloom.llm.pretokens import Known, forget
 
 WORD = re.compile(r"\w+")
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         yield from record_batches(rows, ROW, 20_000)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(releasing(run), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -275,4 +275,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([of(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
