@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, chained, mix, raw, releasing, word_hashes
-from graphloom.llm.components import components, spread
+from graphloom.llm.common import U64, chained, mix, raw, releasing, slices, word_hashes
+from graphloom.llm.components import components, few, frequent, held, spread
 from graphloom.llm.pretokens import forget
 from graphloom.llm.repeats import Scratch, Sketch, bitmap
 
@@ -64,13 +64,9 @@ class Shingler:
     def chunks(self, column: pa.Array):
         """(first row, number of documents, document of each shingle, shingle), sorted, each shingle as often as it
         occurs. A document of fewer words has one shingle, of all its words."""
-        column = column.fill_null("")
-        ends, first = raw(column)[1], 0
-        while first < len(column):
-            last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK_BYTES, "right")) - 1)
-            for lo, n, doc, shingle in self.parts(column.slice(first, last - first)):
+        for first, part in slices(column.fill_null(""), CHUNK_BYTES):
+            for lo, n, doc, shingle in self.parts(part):
                 yield first + lo, n, doc, shingle
-            first = last
 
     def parts(self, column: pa.Array):
         words, offsets = word_hashes(*raw(column))
@@ -149,9 +145,12 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough, exactly."""
+    """The pairs (a, b) of a written table whose shingle sets are similar enough, exactly."""
     left = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
+    if few(pairs):  # then only the sets that these pairs name are shuffled, and once
+        right = right.join(F.broadcast(pairs.select("b")), "b", "left_semi")
+        pairs = F.broadcast(pairs)
     both = F.size(F.array_intersect("x", "y"))
     # Of two sets, the smaller has at least that share of the larger, or they can't be similar enough.
     sizes = F.least(F.size("x"), F.size("y")) >= F.lit(similarity) * F.greatest(F.size("x"), F.size("y"))
@@ -179,7 +178,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     scratch, own = Scratch(docs.sparkSession), docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("h"))
     labels, own = linked(docs, similarity), scratch.write(own)
-    texts = own.groupBy("h").agg(F.min("doc_id").alias("d")).join(labels, "h", "left")
+    texts = own.groupBy("h").agg(F.min("doc_id").alias("d")).join(held(labels), "h", "left")
     texts = scratch.write(texts.select("h", F.coalesce("label", "h").alias("label"), "d"))
     heads = texts.groupBy("label").agg(F.min("d").alias("class_id"))
     texts = scratch.write(spread(texts, heads, "label").select("h", "class_id"))
@@ -191,7 +190,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     then the least 128-bit hash of its text; of rows that repeat both, one."""
     keyed = docs.select(F.expr("struct(*)").alias("row"), F.col("doc_id").cast("long").alias("d"), text_id().alias("h"))
     keyed = keyed.withColumn("k", F.xxhash64("d"))
-    texts = keyed.groupBy("h").agg(F.min(F.struct("d", "h", "k")).alias("head")).join(linked(docs, similarity), "h", "left")
+    texts = keyed.groupBy("h").agg(F.min(F.struct("d", "h", "k")).alias("head")).join(held(linked(docs, similarity)), "h", "left")
     heads = texts.groupBy(F.coalesce("label", "h").alias("label")).agg(F.min("head").alias("head"))
     kept = keyed.join(heads.select("head.h", "head.k"), ["h", "k"], "left_semi").dropDuplicates(["h", "k"])
     return kept.select("row.*")
@@ -202,69 +201,90 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     signatures = scratch.write(bands(docs).dropDuplicates(["h"]))
     keys = signatures.select("h", F.explode("keys").alias("key"))
-    ends = keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most")
-    # One row for each text and bucket that has others.
-    buckets = scratch.write(spread(keys, ends.select("key"), "key"))
-    scratch.drop(signatures)
+    ends = keys.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.count("*").alias("n"))
+    ends = scratch.write(ends.where("least <> most").drop("most"))
+    hot = frequent(ends.withColumnRenamed("n", "n_rows"), "key")
+    # One row for each text and bucket that has others, with the least text of the bucket and the number of its texts.
+    buckets = scratch.write(spread(keys, ends, "key", hot))
+    scratch.drop(signatures, ends)
     texts = scratch.write(buckets.select("h").distinct())
     sets = scratch.write(shingle_sets(docs, texts).dropDuplicates(["h"]).join(texts, "h", "left_semi"))
-    labels = scratch.write(texts.withColumn("label", F.col("h")))
-    links = tried = None
+    scratch.drop(texts)
+    labels, tried = scratch.write(docs.sparkSession.createDataFrame([], "h binary, label binary")), None
 
     def compared(pairs):
-        """The labels once all new ones of these pairs are compared."""
-        nonlocal links, tried
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        """The labels once all new ones of these pairs are compared, and the new links."""
+        nonlocal tried
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).alias("old"))
+        if tried is not None:
+            pairs = pairs.unionByName(tried.withColumn("old", F.lit(1)))
+        pairs = scratch.write(pairs.groupBy("a", "b").agg(F.max("old").alias("old")).where("old = 0").select("a", "b"))
+        if pairs.isEmpty():
+            scratch.drop(pairs)
+            return labels, None
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = scratch.write(verified(pairs, sets, similarity))
-        links = new if links is None else links.unionByName(new)
-        found = components(links, scratch)
-        new = scratch.write(texts.join(found, "h", "left").select("h", F.coalesce("label", "h").alias("label")))
-        scratch.drop(found)
-        return new
-
-    for candidates in (least_members, linked_members, all_members):
-        labels = compared(candidates(buckets.join(labels, "h"), links))
-    large = scratch.write(large_members(buckets.join(labels, "h")))
+        # What was linked before is as well linked by its labels.
+        found = components(new.unionByName(labels.select(F.col("h").alias("a"), F.col("label").alias("b"))), scratch)
+        scratch.drop(labels)
+        return found, new
+
+    labels, links = compared(least_members(buckets))
+    if links is not None:
+        most = scratch.write(most_linked(labelled(buckets, labels), links))
+        labels, _ = compared(linked_members(labelled(buckets, labels), most, hot))
+        scratch.drop(most)
+    labels, _ = compared(all_members(labelled(buckets, labels)))
+    large = scratch.write(large_members(labelled(buckets, labels), hot))
     if not large.isEmpty():
         prefixes = scratch.write(rare_prefixes(large, sets, similarity, scratch))
         most = prefixes.agg(F.max("turn")).first()[0]
         for turn in range(most + 1):
-            labels = compared(rare_pairs(prefixes, labels, similarity, turn, scratch))
+            labels, _ = compared(rare_pairs(prefixes, labels, similarity, turn, scratch))
     scratch.clear(labels)
     return labels
 
 
-def least_members(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of each text of members(h, key, label) with the least of its bucket."""
-    least = members.groupBy("key").agg(F.min("h").alias("a"))
-    return spread(members.select("key", F.col("h").alias("b")), least, "key").where("a <> b")
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label of each h: its own, if it has no link."""
+    return rows.join(held(labels), "h", "left").withColumn("label", F.coalesce("label", "h"))
 
 
-def linked_members(members: DataFrame, links: DataFrame) -> DataFrame:
+def least_members(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text of members(h, key, least, n) with the least of its bucket."""
+    return members.where("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+
+
+def most_linked(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, m): the text of most links of each bucket of members(h, key, label) that holds different classes."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("links"))
+    ends = F.broadcast(ends) if few(links) else ends
+    known = members.join(ends, "h", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    most = known.groupBy("key").agg(F.max(F.struct("links", "h", "label")).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
+    return most.where("x <> y").select("key", "m")
+
+
+def linked_members(members: DataFrame, most: DataFrame, hot: list) -> DataFrame:
     """Pairs of each text with the one of most links in its bucket, if they are in different classes: where copies of
     one text were changed here and there, that is the text in their middle."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    known = members.join(ends, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    most = known.groupBy("key").agg(F.max(F.struct("n", "h", "label")).alias("m"))
-    pairs = spread(members, most, "key").where(F.col("label") != F.col("m.label"))
+    pairs = spread(members, most, "key", hot).where(F.col("label") != F.col("m.label"))
     return pairs.select(F.col("m.h").alias("a"), F.col("h").alias("b"))
 
 
-def all_members(members: DataFrame, links: DataFrame) -> DataFrame:
+def all_members(members: DataFrame) -> DataFrame:
     """All pairs of different classes in buckets of up to FEW texts: FEW - 1 for each text at most."""
-    few = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    own = members.join(few.where((F.col("n") <= FEW) & (F.col("x") != F.col("y"))).select("key"), "key")
-    other = own.select("key", F.col("h").alias("b"), F.col("label").alias("l"))
-    return own.join(other, "key").where((F.col("h") < F.col("b")) & (F.col("label") != F.col("l"))).select(F.col("h").alias("a"), "b")
+    own = members.where(F.col("n") <= FEW).groupBy("key")
+    own = own.agg(F.collect_list(F.struct("h", "label")).alias("m"), F.min("label").alias("x"), F.max("label").alias("y"))
+    own = own.where("x <> y").select("m", F.explode("m").alias("x"))
+    other = F.expr("filter(m, o -> o.h > x.h and o.label <> x.label)")
+    return own.select(F.col("x.h").alias("a"), F.explode(other).alias("y")).select("a", F.col("y.h").alias("b"))
 
 
-def large_members(members: DataFrame) -> DataFrame:
+def large_members(members: DataFrame, hot: list) -> DataFrame:
     """(h, label) of the texts in buckets of more than FEW texts that hold different classes."""
-    many = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    many = many.where((F.col("n") > FEW) & (F.col("x") != F.col("y"))).select("key")
-    return members.join(many, "key", "left_semi").select("h", "label").distinct()
+    own = members.where(F.col("n") > FEW)
+    many = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return spread(own, many, "key", hot).select("h", "label").distinct()
 
 
 def shingle_ranks(sets: DataFrame) -> np.ndarray:
@@ -298,8 +318,8 @@ def rare_prefixes(texts: DataFrame, sets: DataFrame, similarity: float, scratch:
     sizes = scratch.write(texts.groupBy("label").agg(F.count("*").alias("n")))
     share = F.pmod(F.xxhash64("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     turn = F.greatest(F.lit(0), F.ceil(F.log((share * F.col("n") + 1e-9) / TURN) / F.log(F.lit(8.0)))).cast("int")
-    turns = spread(texts, sizes, "label").select("h", turn.alias("turn"))
-    own = scratch.write(sets.join(turns, "h"))
+    by_label = texts.join(F.broadcast(sizes), "label") if few(sizes) else spread(texts, sizes, "label")
+    own = scratch.write(sets.join(held(scratch.write(by_label.select("h", turn.alias("turn")))), "h"))
     shared = sets.sparkSession.sparkContext.broadcast(shingle_ranks(own))
 
     def least(size, share):
@@ -336,7 +356,7 @@ def rare_pairs(prefixes: DataFrame, labels: DataFrame, similarity: float, turn:
     room for the others. Shingles of one class only are left out, and of each other one pairs within its largest class
     are never formed.
     """
-    found = scratch.write(prefixes.where(F.col("turn") <= turn).join(labels, "h"))
+    found = scratch.write(labelled(prefixes.where(F.col("turn") <= turn), labels))
     tops = found.groupBy("s", "label").agg(F.count("*").alias("n")).groupBy("s").agg(
         F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("classes")
     )

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import (
-    U64, Rolling, checkpoint_dir, hashed_ranges, mix, raw, record_batches, text_key, word_ranges,
+    U64, Rolling, checkpoint_dir, hashed_ranges, mix, raw, record_batches, releasing, slices, text_key, word_ranges,
 )
 
 #: Units worked on at once.
@@ -240,8 +240,10 @@ def merged_blocks(blocks: DataFrame, sketch: Sketch, which: str):
     def merge(batches):
         yield from block_batches(sketch.merged(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))))
 
-    merged = blocks.repartition("block").mapInArrow(merge, BLOCKS_SQL)
-    return ((r[0], r[1]) for r in merged.select("block", which).toLocalIterator())
+    # In one job; an iterator takes one for each partition. At most one packed bit for each counter.
+    found = blocks.repartition("block").mapInArrow(releasing(merge), BLOCKS_SQL).select("block", which).toArrow()
+    for batch in found.to_batches():
+        yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
 def bitmap(rows: DataFrame, sketch: Sketch, hashes) -> np.ndarray:
@@ -360,8 +362,7 @@ def mixed_runs(docs: DataFrame, kind: Kind, known: DataFrame, bits: int, many: i
     present = Sketch(bits)
     hashes = lambda b: occurrence_hash(b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy())
     # One in `many` of the contexts at most.
-    large = several.where(F.col("n") > many).select("anchor").toLocalIterator()
-    large = np.sort(np.fromiter((r[0] for r in large), np.int64))
+    large = np.sort(several.where(F.col("n") > many).select("anchor").toArrow()["anchor"].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast((bitmap(firsts, present, hashes), large))
     schema = schema_of(MIXED)
 

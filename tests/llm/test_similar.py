@@ -81,6 +81,34 @@ def test_classes_on_one_template(make):
     assert sorted(map(tuple, classes(docs).collect()), key=str) == expected
 
 
+def test_classes_in_few_stages(spark, make):
+    """Rounds, and jobs for each partition, cost time however little is left to compare."""
+    docs = make([" ".join([f"t{i // 4}x{j}" for j in range(60)] + [f"e{i % 4}"]) for i in range(40)])
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in settings}
+    stages = spark.sparkContext._jsc.sc().dagScheduler().nextStageId
+    before = stages()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert len({r.class_id for r in classes(docs).collect()}) == 10
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert stages() - before < 150
+
+
+def test_classes_of_many_links(make, corpus, monkeypatch):
+    """Tables of pairs that are too large to be broadcast or joined up by one task."""
+    monkeypatch.setattr("graphloom.llm.components.FEW_ROWS", 0)
+    texts = corpus + [" ".join(f"t{(i + j) % 300}" for j in range(60)) for i in range(30)]  # a chain
+    docs = make(texts)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = plain_classes(rows)
+    assert len({c for d, c in expected if d >= len(corpus)}) == 1
+    assert sorted(map(tuple, classes(docs).collect()), key=str) == expected
+
+
 def test_classes_on_tables(spark):
     """The documents of sf0.01 against brute force: pairs that share a shingle, each compared."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
