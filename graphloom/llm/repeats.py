@@ -88,7 +88,12 @@ class Cutter:
 
     def chunks(self, batch: pa.RecordBatch):
         """(row of each document, its Units, unit offsets, first unit's place in its document)."""
-        data, offsets = raw(batch.column(2).fill_null(""))
+        for first, column in slices(batch.column(2).fill_null("")):
+            for rows, units, offsets, skipped in self.parts(column):
+                yield first + rows, units, offsets, skipped
+
+    def parts(self, column: pa.Array):
+        data, offsets = raw(column)
         words = None
         if self.kind.words:
             *words, offsets = word_ranges(data, offsets)
@@ -148,17 +153,27 @@ class Sketch:
             yield row, (mix(hashes ^ U64(0x9E3779B97F4A7C15 * (row + 1) % 2**64)) >> U64(64 - self.bits)).astype(np.int64)
 
     def counts(self, batches_of_hashes):
-        """(row * blocks + block, packed "one or more", packed "two or more") for each block with a count."""
-        counts = np.zeros((self.ROWS, 1 << self.bits), np.uint8)
+        """(row * blocks + block, packed "one or more", packed "two or more") for each block with a count. The counters are
+        two bits each throughout: a byte each would take four times as much in every worker."""
+        one, two = (np.zeros((self.ROWS, 1 << self.bits >> 3), np.uint8) for _ in range(2))
         for hashes in batches_of_hashes:
             for row, at in self.places(hashes):
+                if not len(at):
+                    continue
                 at.sort()
                 new = np.flatnonzero(np.diff(at, prepend=-1) != 0)
-                at, times = at[new], np.diff(new, append=len(at))
-                counts[row, at] = np.minimum(counts[row, at] + np.minimum(times, 2).astype(np.uint8), 2)
-        blocks = counts.reshape(-1, self.block)
-        for i in np.flatnonzero(blocks.any(axis=1)):
-            yield int(i), zlib.compress(np.packbits(blocks[i] > 0).tobytes(), 1), zlib.compress(np.packbits(blocks[i] > 1).tobytes(), 1)
+                twice = np.diff(new, append=len(at)) > 1
+                bit = np.uint8(128) >> (at[new] & 7).astype(np.uint8)
+                byte = at[new] >> 3
+                start = np.flatnonzero(np.diff(byte, prepend=-1) != 0)
+                byte = byte[start]
+                had = one[row, byte]
+                now = np.bitwise_or.reduceat(bit, start)
+                two[row, byte] |= had & now | np.bitwise_or.reduceat(np.where(twice, bit, np.uint8(0)), start)
+                one[row, byte] = had | now
+        one, two = (x.reshape(-1, self.block >> 3) for x in (one, two))
+        for i in np.flatnonzero(one.any(axis=1)):
+            yield int(i), zlib.compress(one[i].tobytes(), 1), zlib.compress(two[i].tobytes(), 1)
 
     @staticmethod
     def merged(rows):
@@ -233,7 +248,7 @@ def count_min(docs: DataFrame, kind: Kind, sketch: Sketch) -> np.ndarray:
 
         yield from block_batches(sketch.counts(hashes()))
 
-    return sketch.repeated(merged_blocks(keyed(docs).mapInArrow(count, BLOCKS_SQL), sketch, "two"))
+    return sketch.repeated(merged_blocks(keyed(docs).mapInArrow(releasing(count), BLOCKS_SQL), sketch, "two"))
 
 
 def merged_blocks(blocks: DataFrame, sketch: Sketch, which: str):
@@ -252,7 +267,7 @@ def bitmap(rows: DataFrame, sketch: Sketch, hashes) -> np.ndarray:
     def count(batches):
         yield from block_batches(sketch.counts(hashes(b) for b in batches))
 
-    return sketch.repeated(merged_blocks(rows.mapInArrow(count, BLOCKS_SQL), sketch, "one"))
+    return sketch.repeated(merged_blocks(rows.mapInArrow(releasing(count), BLOCKS_SQL), sketch, "one"))
 
 
 RUNS = "anchor long, c1 long, c2 long, doc_id long, p long, n int"
@@ -301,7 +316,7 @@ def runs(docs: DataFrame, kind: Kind, sketch: Sketch, repeated: np.ndarray) -> D
         for columns, *_ in cut_runs(batches, Cutter(kind), wanted):
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return keyed(docs).mapInArrow(cut, RUNS)
+    return keyed(docs).mapInArrow(releasing(cut), RUNS)
 
 
 class Scratch:
@@ -377,7 +392,7 @@ def mixed_runs(docs: DataFrame, kind: Kind, known: DataFrame, bits: int, many: i
             of_large = np.isin(columns[0].to_numpy(), shared.value[1])
             yield pa.RecordBatch.from_arrays([*columns, content, pa.array(of_large)], schema=schema)
 
-    return keyed(docs).mapInArrow(cut, MIXED)
+    return keyed(docs).mapInArrow(releasing(cut), MIXED)
 
 
 SPANS = "doc_id long, t long, s long, e long"
@@ -414,7 +429,7 @@ def in_shards(mixed: DataFrame, spans_of, shard: int, window: int) -> DataFrame:
         yield from record_batches(found(), schema, 20_000)
 
     by_anchor = mixed.select("anchor", "c1", "c2", "doc_id", "p", "content").repartition("anchor")
-    return by_anchor.sortWithinPartitions("anchor", "c1", "c2", "doc_id", "p").mapInArrow(run, SPANS)
+    return by_anchor.sortWithinPartitions("anchor", "c1", "c2", "doc_id", "p").mapInArrow(releasing(run), SPANS)
 
 
 def window_rows(mixed: DataFrame, window: int, words: bool) -> DataFrame:
@@ -433,7 +448,7 @@ def window_rows(mixed: DataFrame, window: int, words: bool) -> DataFrame:
                     ["w1", "w2", "doc_id", "p"],
                 )
 
-    return mixed.select("doc_id", "p", "content").mapInArrow(run, "w1 long, w2 long, doc_id long, p long")
+    return mixed.select("doc_id", "p", "content").mapInArrow(releasing(run), "w1 long, w2 long, doc_id long, p long")
 
 
 def removals(docs: DataFrame, spans: DataFrame) -> DataFrame:

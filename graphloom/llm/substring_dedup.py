@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import record_batches
+from graphloom.llm.common import record_batches, releasing, slices
 from graphloom.llm.repeats import (
     Kind, Scratch, Sketch, contexts, count_min, in_shards, merged, mixed_runs, position, removals, runs, spans,
     window_rows,
@@ -90,20 +90,21 @@ def remove_repeats(docs: DataFrame, window: int = 20, bits: int = BITS, many: in
     def cut(batches):
         def rows():
             for batch in batches:
-                for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                    words = WORD.findall(text or "")
-                    gone = merged(spans)
-                    at, kept = 0, []
-                    for s, e in gone:
-                        kept += words[at:s]
-                        at = e
-                    kept += words[at:]
-                    yield doc_id, len(words), len(words) - len(kept), " ".join(kept)
+                for first, part in slices(batch.column(1).fill_null("")):
+                    for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.slice(first, len(part)).columns)):
+                        words = WORD.findall(text or "")
+                        gone = merged(spans)
+                        at, kept = 0, []
+                        for s, e in gone:
+                            kept += words[at:s]
+                            at = e
+                        kept += words[at:]
+                        yield doc_id, len(words), len(words) - len(kept), " ".join(kept)
 
         yield from record_batches(rows(), OUT, size=lambda r: len(r[3]))
 
     return removals(docs, repeated_words(docs, Scratch(docs.sparkSession), window, bits, many)).mapInArrow(
-        cut, "doc_id long, n_words long, n_removed long, text string"
+        releasing(cut), "doc_id long, n_words long, n_removed long, text string"
     )
 
 

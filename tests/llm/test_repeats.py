@@ -98,6 +98,48 @@ def test_large_and_small_anchors(make):
     assert sorted(map(tuple, got)) == sorted(plain_bytes(some(docs), 40))
 
 
+def test_anchors_of_a_large_batch_take_bounded_memory(monkeypatch):
+    """Words of a whole batch, and counters of a byte each, took more than an executor has."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from graphloom.llm import common, repeats
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdef", k=3)) for _ in range(300)]
+    texts = [None, "", "a b", *(" ".join(rng.choices(words, k=500)) for _ in range(5000))]
+    column, size = pa.array(texts), sum(len(t or "") for t in texts)
+    batch = lambda c: pa.RecordBatch.from_arrays([pa.array(range(len(c))), pa.array([0] * len(c)), c], ["doc_id", "t", "text"])
+    kind, sketch = repeats.Kind(True, 20, 5), repeats.Sketch(24)
+
+    def hashes(c):
+        cutter = repeats.Cutter(kind)
+        for _, units, offsets, _ in cutter.chunks(batch(c)):
+            yield cutter.anchors(units.values, offsets)[3]
+
+    def cut(c):
+        every = lambda anchor, *_: np.arange(len(anchor))
+        found = repeats.cut_runs([batch(c)], repeats.Cutter(kind), every)
+        return [r for columns, *_ in found for r in zip(*(x.to_pylist() for x in columns))]
+
+    few = column.slice(0, 60)
+    rows, times = cut(few), Counter(h for x in hashes(few) for h in x.tolist())
+    repeated = sketch.repeated((i, two) for i, _, two in sketch.merged(sketch.counts(hashes(few))))
+    known = np.array(list(times), np.uint64)
+    assert sketch.may_repeat(repeated, known)[[n > 1 for n in times.values()]].all()
+    assert sketch.may_repeat(repeated, known).mean() < 0.1
+    monkeypatch.setattr(common, "SLICE", 3000)
+    assert cut(few) == rows
+    monkeypatch.undo()
+    tracemalloc.start()
+    for _ in sketch.counts(hashes(column)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 3 * common.SLICE and peak < 6 * size + (sketch.ROWS << sketch.bits) // 2
+
+
 def morse(a: str, b: str, n: int) -> str:
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
 
