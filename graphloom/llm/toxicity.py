@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -224,8 +225,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     most = longest([r.n for r in sizes], FIT_CHARS)
     wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.t, r.toxic) for r in sizes], "doc_id long, t long, toxic int")
     rows = texts.join(F.broadcast(wanted), ["doc_id", "t"]).select("doc_id", "t", F.substring("text", 1, most).alias("text"), "toxic")
-    rows = [(r.doc_id, r.text, r.toxic) for r in rows.dropDuplicates(["doc_id", "t"]).toLocalIterator()]
-    return train(sorted(rows, key=lambda r: (r[0], r[2], r[1] or "")))
+    rows = rows.dropDuplicates(["doc_id", "t"]).select("doc_id", "text", "toxic").repartition(1)
+
+    def run(batches):
+        sample = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        model = train(sorted(sample, key=lambda r: (r[0], r[2], r[1] or "")))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return pickle.loads(rows.mapInArrow(releasing(run), "model binary").first()["model"])
 
 
 def longest(lengths: list[int], total: int) -> int:

@@ -162,6 +162,17 @@ def test_toxicity_held_out(spark, make, odd, empty):
     assert toxicity.score(docs, constant).select("score").distinct().count() == 1
 
 
+def test_toxicity_is_trained_outside_the_driver(make, spark, monkeypatch):
+    """The driver's memory doesn't hold the sample: a task trains."""
+    import os
+
+    monkeypatch.setattr(toxicity, "train", lambda rows: (os.getpid(), rows))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    pid, rows = toxicity.fit(make([None, *(f"text {i}" for i in range(1, 8))]), labels)
+    assert pid != os.getpid() and rows and rows == sorted(rows)
+    assert {i: (t, y) for i, t, y in rows}.items() <= {i: (f"text {i}" if i else None, i % 2) for i in range(8)}.items()
+
+
 def test_toxicity_without_rows_to_learn_from(spark, make):
     docs = make([t for _, t, _ in labelled(30)])
     for labels in ([], [(900 + i, i % 2) for i in range(90)], [(i, 1) for i in range(30)]):
