@@ -15,16 +15,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
-from graphloom.llm.common import record_batches, releasing
+from graphloom.llm.common import releasing
 from graphloom.llm.pretokens import Known, forget
 
 WORD = re.compile(r"\w+")
+#: By character of Latin-1 its lower case, or a space if WORD has no place for that.
+LATIN = "".join(c if WORD.match(c) else " " for c in (chr(b).lower() for b in range(256))).encode("latin-1")
 #: Most labelled rows that a fit takes, of either class, and the most characters that it reads of all.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 3000, 6000, 32_000_000
 #: The most that a model says of any text that had too little to learn from: it predicts nothing to be toxic.
 UNTRAINED = 0.25
 #: Words in a window, bytes in a dictionary.
 WINDOW, DICTIONARY = 12, 1 << 15
+#: Windows that are held to be compressed under one dictionary, then under the other: some 4 MB.
+HELD = 1 << 14
 CODE, PREFIXES = 8, ((3, "3"), (5, "5"))
 #: Least log odds ratio, less so many standard errors, of what tells toxic text.
 ODDS, ERRORS = 1.0, 2.5
@@ -35,18 +39,30 @@ def units(word: str) -> list[str]:
     return [mark + word[:n] for n, mark in PREFIXES if len(word) > n] + ["=" + word]
 
 
-def digest_of(unit: str) -> bytes:
-    return xxh3_64_digest(unit.encode())
+#: Of a unit's UTF-8 bytes.
+digest_of = xxh3_64_digest
 
 
 def code(word: str) -> bytes:
-    """A word's spelling for the compressor. zstandard gains nothing from matches of a few bytes, so that a short
-    word known to a dictionary would cost as much as an unknown one; of codes of fixed length it spares most."""
-    return b"".join(map(digest_of, units(word)))
+    """The digests of a word's units: its spelling for the compressor. zstandard gains nothing from matches of a few bytes,
+    so that a short word known to a dictionary would cost as much as an unknown one; of codes of fixed length it spares most."""
+    out, size = b"", len(word)  # most calls are for rare words, each made anew, so without a list of units
+    for n, mark in PREFIXES:
+        if size <= n:
+            break
+        out += xxh3_64_digest(mark + word[:n])
+    return out + xxh3_64_digest("=" + word)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """What WORD finds in the text in lower case. Texts within Latin-1 are cut at white space, after a translation."""
+    if not text:
+        return []
+    try:
+        latin = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WORD.findall(text.lower())
+    return latin.translate(LATIN).decode("latin-1").split()
 
 
 class Lengths:
@@ -81,27 +97,47 @@ class Model:
     scale: tuple[float, ...]
 
     def scorer(self):
+        """A function from a list of texts to their scores."""
         if not self.toxic:
-            return lambda text: self.weights[0]
+            return lambda texts: [self.weights[0]] * len(texts)
         toxic, ordinary, codes = Lengths(self.toxic), Lengths(self.ordinary), Known(code)
 
-        def score(text: str | None) -> float:
-            x = features(margins(words_of(text), toxic, ordinary, codes))
+        def score(found: list[int]) -> float:
+            x = features(found)
             z = self.weights[0] + sum(
                 w * (v - c) / s for w, v, c, s in zip(self.weights[1:], x, self.centre, self.scale)
             )
             return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
-        return score
+        return lambda texts: list(map(score, margins(texts, toxic, ordinary, codes)))
 
 
-def margins(words: list[str], toxic: Lengths, ordinary: Lengths, codes: Known) -> list[int]:
-    """For each window, by how many bytes it is shorter under the toxic dictionary."""
-    get, out = codes.__getitem__, []
-    for i in range(0, len(words), WINDOW):
-        window = b"".join(map(get, words[i : i + WINDOW]))
-        out.append(ordinary.of(window) - toxic.of(window))
-    return out
+def margins(texts: list[str | None], toxic: Lengths, ordinary: Lengths, codes: Known):
+    """For each text, of each of its windows by how many bytes it is shorter under the toxic dictionary. The dictionaries
+    don't take turns at every window: either has tables of half a megabyte, which the processor's caches then keep."""
+    get, windows, found, ends = codes.__getitem__, [], [], [0]
+
+    def measure():
+        under_ordinary, under_toxic = list(map(ordinary.of, windows)), list(map(toxic.of, windows))
+        found.extend(map(int.__sub__, under_ordinary, under_toxic))
+        windows.clear()
+
+    def measured():
+        measure()
+        yield from [found[a:b] for a, b in zip(ends, ends[1:])]
+        found.clear()
+        del ends[1:]
+
+    for text in texts:
+        words = words_of(text)
+        for i in range(0, len(words), WINDOW):
+            windows.append(b"".join(map(get, words[i : i + WINDOW])))
+            if len(windows) >= HELD:  # of a long text some at a time
+                measure()
+        ends.append(len(found) + len(windows))
+        if ends[-1] >= HELD:
+            yield from measured()
+    yield from measured()
 
 
 def features(found: list[int]) -> tuple[float, ...]:
@@ -180,7 +216,7 @@ def train(rows: list[tuple[int, str | None, int]]) -> Model:
         return constant
     lengths, codes = (Lengths(model.toxic), Lengths(model.ordinary)), Known(code)
     held = sorted(set(range(len(rows))) - set(made))
-    x = np.array([features(margins(words_of(rows[i][1]), *lengths, codes)) for i in held])
+    x = np.array([features(found) for found in margins([rows[i][1] for i in held], *lengths, codes)])
     y = np.array([rows[i][2] for i in held], float)
     model.centre, model.scale = tuple(x.mean(0).tolist()), tuple((x.std(0) + 1e-6).tolist())
     model.weights = tuple(logistic((x - model.centre) / model.scale, y).tolist())
@@ -260,12 +296,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         forget()
         of = model.scorer()
-        rows = (
-            (doc_id, held, of(text))
-            for batch in batches
-            for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns))
-        )
-        yield from record_batches(rows, ROW, 20_000)
+        for batch in batches:
+            doc_id, held, text = batch.columns
+            yield pa.RecordBatch.from_arrays([doc_id, held, pa.array(of(text.to_pylist()), pa.float64())], schema=ROW)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     scored = rows.mapInArrow(releasing(run), "doc_id long, held_out boolean, score double")
@@ -280,6 +313,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         forget()
         of = model.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([of(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([p < 0.5 for p in of(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(releasing(run), docs.schema)

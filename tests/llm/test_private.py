@@ -194,6 +194,42 @@ def test_toxicity_with_a_long_text_in_front(spark, make, monkeypatch):
     assert toxicity.longest([5, 1, 100, 7], 33) == 20 and toxicity.longest([5, 1], 33) == 5
 
 
+def test_toxicity_words_without_a_search(monkeypatch):
+    """Texts within Latin-1 are translated and cut, into what the pattern finds; only others go through it."""
+    rng = random.Random(5)
+    texts = ["".join(map(chr, range(256))), " ".join(map(chr, range(256))), "", "a", " _1 ", "\x85\xa0\x1c", "ÀÞ×÷ÿß²¼ªµ", "İı ﬁ日本 Σς"]
+    texts += ["".join(chr(rng.randrange(n)) for _ in range(400)) for n in (128, 256, 1000, 50_000) for _ in range(20)]
+    want = [re.findall(r"\w+", t.lower()) for t in texts]
+    assert [toxicity.words_of(t) for t in texts] == want and toxicity.words_of(None) == []
+    assert all(toxicity.code(w) == b"".join(map(toxicity.digest_of, toxicity.units(w))) for found in want for w in found)
+    monkeypatch.setattr(toxicity, "WORD", None)
+    assert all(toxicity.words_of(t) == w for t, w in zip(texts, want) if max(t, default="") < "\u0100")
+
+
+def test_toxicity_dictionaries_in_turns(monkeypatch):
+    """Windows of many texts go through one dictionary, then the other, however they are dealt to turns."""
+    turns = []
+
+    class Fake:
+        def __init__(self, name, factor):
+            self.name, self.factor = name, factor
+
+        def of(self, window):
+            turns.append(self.name)
+            return self.factor * len(window)
+
+    rng = random.Random(6)
+    texts = [None, "", *(" ".join(["word"] * rng.randrange(n)) for n in (10, 100, 900) for _ in range(10)), "", None]
+    rng.shuffle(texts)
+    sizes = [[len(toxicity.words_of(t)[i : i + 12]) * 16 for i in range(0, len(toxicity.words_of(t)), 12)] for t in texts]
+    for held, most in ((1, 10_000), (7, 300), (1 << 14, 2)):
+        turns.clear()
+        monkeypatch.setattr(toxicity, "HELD", held)
+        got = list(toxicity.margins(texts, Fake("toxic", 1), Fake("ordinary", 3), toxicity.Known(toxicity.code)))
+        assert got == [[2 * n for n in found] for found in sizes] and turns.count("toxic") == turns.count("ordinary") == sum(map(len, sizes))
+        assert 1 + sum(a != b for a, b in zip(turns, turns[1:])) <= most
+
+
 def test_labels_never_seen(spark, make):
     """Labels of held-out rows don't change a model."""
     rows = labelled(300)
