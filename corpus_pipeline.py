@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, near_dedup, packing, pii, toxicity
-from graphloom.llm.common import table
+from graphloom.llm.common import release_executors, table
 from graphloom.llm.registry import tokenizer_path
 from graphloom.llm.repeats import Scratch
 
 
+def released(stage):
+    """The stage, begun once executors have given back the memory that the one before it filled."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@released
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't predicted to be toxic. The model learns from the documents given."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@released
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: that with the least doc_id, one of repeated rows."""
     return near_dedup.keep_one(docs)
 
 
+@released
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@released
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind, and n_chars by the new length."""
     out = pii.redact(docs)
@@ -34,6 +51,7 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.select(*docs.columns)
 
 
+@released
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
     return packing.pack(docs, tokenizer_path())

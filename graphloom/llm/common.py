@@ -38,6 +38,14 @@ def releasing(run):
     return released
 
 
+def release_executors(spark: SparkSession) -> None:
+    """Has executors collect their heaps in full, which gives what is then free back to the system: a heap that one
+    operator filled stays at that size otherwise, beside the workers of the next. One short task for each core, so
+    that every executor that is idle gets one; where explicit collections are disabled, nothing happens."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

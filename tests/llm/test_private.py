@@ -260,3 +260,18 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, d).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in kept.collect()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect())) == sorted(map(tuple, pieces))
+
+
+def test_stages_begin_with_released_executors(spark):
+    """Heaps that one stage filled stood beside the workers of the next, up to more than an executor has."""
+    import corpus_pipeline
+    from graphloom.llm.common import table
+
+    d = "/root/testdata/sf0.001"
+    docs, beans = table(spark, d, "documents"), spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("decontamination", "packing"):  # they collect nothing by themselves
+            before = full()
+            stage(spark, docs, d)
+            assert full() > before, name
