@@ -398,8 +398,13 @@ def mixed_runs(docs: DataFrame, kind: Kind, known: DataFrame, bits: int, many: i
 SPANS = "doc_id long, t long, s long, e long"
 
 
-def in_shards(mixed: DataFrame, spans_of, shard: int, window: int) -> DataFrame:
-    """Spans from spans_of(doc_id, p, contents) -> starts of windows by content, over shards of whole anchors."""
+#: Bytes of contents, about, that are narrowed at once: their hashes take some eighty times as much.
+PART = 1 << 20
+
+
+def in_shards(mixed: DataFrame, spans_of, shard: int, window: int, narrow=None) -> DataFrame:
+    """Spans from spans_of(doc_id, p, contents) -> starts of windows by content, over shards of whole anchors.
+    narrow(rows) may leave out first, of whole anchors, what no window shares; a shard's size is what it leaves."""
     schema = schema_of(SPANS)
 
     def run(batches):
@@ -412,18 +417,34 @@ def in_shards(mixed: DataFrame, spans_of, shard: int, window: int) -> DataFrame:
                     for s, e in zip(at[new].tolist(), at[last].tolist()):
                         yield doc_id[i], p[i] >> 32, start + s, start + e + window
 
-        def found():
+        def parts(most):
             rows, size, anchor, known = [], 0, None, None
             for batch in batches:
                 for a, c1, c2, doc_id, p, content in zip(*(c.to_pylist() for c in batch.columns)):
-                    if a != anchor and size >= shard:
-                        yield from of(rows)
+                    if a != anchor and size >= most:
+                        yield rows
                         rows, size = [], 0
                     if (a, c1, c2) != known:  # the first occurrence stands for a context
                         rows.append((doc_id, p, a, content))
                         size += len(content)
                     anchor, known = a, (a, c1, c2)
             if rows:
+                yield rows
+
+        def narrowed():
+            rows, size = [], 0
+            for part in parts(min(PART, shard)):
+                part = narrow(part)
+                rows += part
+                size += sum(len(r[3]) for r in part)
+                if size >= shard:
+                    yield rows
+                    rows, size = [], 0
+            if rows:
+                yield rows
+
+        def found():
+            for rows in narrowed() if narrow else parts(shard):
                 yield from of(rows)
 
         yield from record_batches(found(), schema, 20_000)

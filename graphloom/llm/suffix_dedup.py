@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import raw, record_batches
+from graphloom.llm.common import U64, mix, raw, record_batches
 from graphloom.llm.repeats import (
-    Kind, Scratch, Sketch, contexts, count_min, in_shards, merged, mixed_runs, position, removals, runs, spans,
+    Cutter, Kind, Scratch, Sketch, contexts, count_min, in_shards, merged, mixed_runs, position, removals, runs, spans,
     window_rows,
 )
 from graphloom.llm.suffix_array import permuted_lcp, suffix_array
@@ -20,6 +20,59 @@ from graphloom.llm.suffix_array import permuted_lcp, suffix_array
 BITS = 26
 #: Bytes in a shard, about; contexts of one anchor beyond which they are told apart window by window.
 SHARD, MANY = 1 << 21, 8192
+#: Ranges of an anchor's places in its windows that are looked at one by one.
+RANGES = 8
+
+
+class Narrow:
+    """Cuts contexts of whole anchors, rows of (doc_id, p, anchor, content), to the windows that another one may share.
+
+    Equal windows have their anchor at the same place. The places fall into RANGES ranges; all windows of a
+    context whose anchor's place is in one of them have the bytes in common that the first and the last of the range
+    share, and so has a context with an equal window. So windows stay whose range has a hash of these bytes that
+    another context of the anchor has too, with those between the first and the last range that stays. Equal hashes of
+    different bytes only let more through; what repeats is told by the suffix array.
+    """
+
+    def __init__(self, kind: Kind):
+        self.window, self.k, self.first = kind.window, kind.k, Cutter(kind).first
+
+    def __call__(self, rows: list[tuple]) -> list[tuple]:
+        window, most = self.window, self.window - self.k
+        anchor = np.array([r[2] for r in rows], np.int64).view(U64)
+        length = np.array([len(r[3]) for r in rows])
+        ends = np.cumsum(length)
+        starts = ends - length
+        sums = self.first.sums(self.first.table[np.frombuffer(b"".join(r[3] for r in rows), np.uint8)])
+        grams = self.first.windows(sums, self.k)
+        # All windows of a context hold its anchor, which is the first gram with that hash that all of them hold.
+        owner = np.repeat(np.arange(len(rows)), length)[: len(grams)]
+        at = np.flatnonzero(grams == anchor[owner])
+        owner = owner[at]
+        at -= starts[owner]
+        held = (at >= length[owner] - window) & (at <= most)
+        owner, new = np.unique(owner[held], return_index=True)
+        place = np.full(len(rows), -1)
+        place[owner] = at[held][new]
+        least, greatest = np.full(len(rows), window), np.full(len(rows), -1)
+        step = -(-(most + 1) // RANGES)
+        for lo in range(0, most + 1, step):
+            hi = min(lo + step - 1, most)
+            of = np.flatnonzero((place >= lo) & (place - hi <= length - window))
+            common = self.first.ranges(sums, starts[of] + place[of] - lo, starts[of] + place[of] - hi + window)
+            _, same, n = np.unique(mix(common ^ anchor[of]), return_inverse=True, return_counts=True)
+            of = of[n[same] > 1]
+            least[of] = np.minimum(least[of], lo)
+            greatest[of] = hi
+        a = np.maximum(0, place - greatest)
+        b = np.minimum(length, place - least + window)
+        unknown = place < 0  # a context without its anchor stays as it is
+        a[unknown], b[unknown] = 0, length[unknown]
+        kept = np.flatnonzero((greatest >= 0) | unknown)
+        return [
+            (doc_id, p + s, key, content[s:e])
+            for (doc_id, p, key, content), s, e in zip((rows[i] for i in kept.tolist()), a[kept].tolist(), b[kept].tolist())
+        ]
 
 
 def repeated_starts(contents: Sequence[bytes], window: int) -> list[np.ndarray]:
@@ -64,7 +117,7 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, bits: i
     mixed = scratch.write(mixed_runs(docs, kind, known, bits, many))
     scratch.drop(known)
     of_shard = lambda doc_id, p, anchor, contents: repeated_starts(contents, window)
-    shared = in_shards(mixed.where(~F.col("many")), of_shard, SHARD, window)
+    shared = in_shards(mixed.where(~F.col("many")), of_shard, SHARD, window, Narrow(kind))
     shared = scratch.write(shared.unionByName(by_windows(mixed.where("many"), window)))
     scratch.drop(mixed)
     scratch.free()
@@ -82,7 +135,8 @@ def remove_repeats(docs: DataFrame, window: int = 200, bits: int = BITS, many: i
     A byte of the UTF-8 text goes if a string of `window` bytes covers it that also starts anywhere else, in the
     same document too (overlaps count); strings don't cross documents and are judged on the input. Texts without a
     possible repetition are left out by a sketch that loses none; suffix arrays by induced sorting, one per shard
-    of contexts, with their permuted common prefixes, find the strings that different contexts share.
+    of contexts (less what hashes show that no other shares), with their permuted common prefixes, find the strings
+    that different contexts share.
 
     A null text is empty. Rows with the same doc_id and text are one document, and each gets its result; rows with
     the same doc_id and other texts are different documents. An empty table gives an empty table; other columns are

@@ -184,3 +184,37 @@ def test_repeated_starts():
         count = Counter(p[i : i + 5] for p in parts for i in range(len(p) - 4))
         expected = [[i for i in range(len(p) - 4) if count[p[i : i + 5]] > 1] for p in parts]
         assert [a.tolist() for a in suffix_dedup.repeated_starts(parts, 5)] == expected
+
+
+def test_contexts_are_cut_to_what_may_be_shared():
+    """Whole contexts went into the suffix arrays, also those that share little more than their anchor."""
+    import pyarrow as pa
+
+    from graphloom.llm import repeats
+
+    rng = random.Random(17)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passages = [letters(n) for n in (30, 39, 40, 41, 55, 80, 200) for _ in range(4)]
+    texts = ["ab" * 60, "a" * 90]
+    texts += [letters(rng.randint(0, 90)) + p + letters(rng.randint(0, 90)) for p in passages for _ in range(3)]
+    texts += [letters(50) + p[:a] + "Z" + p[a:] + letters(50) for p in passages[12:] for a in (7, 20, 35)]
+    kind = repeats.Kind(False, 40, 6)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], ["doc_id", "t", "text"])
+    rows = {}
+    for columns, units, start, end in repeats.cut_runs([batch], repeats.Cutter(kind), lambda anchor, *_: np.arange(len(anchor))):
+        content = repeats.ranges_of(units.data, start, end - start).to_pylist()
+        for anchor, c1, c2, doc_id, p, c in zip(*(x.to_pylist() for x in columns[:5]), content):
+            rows.setdefault((anchor, c1, c2), (doc_id, p, anchor, c))
+    rows = [rows[k] for k in sorted(rows)]
+
+    def repeated(rows):
+        found = [(c[i : i + 40], doc_id, p + i) for doc_id, p, _, c in rows for i in range(len(c) - 39)]
+        count = Counter(w for w, *_ in found)
+        return {x for x in found if count[x[0]] > 1}
+
+    narrowed = suffix_dedup.Narrow(kind)(rows)
+    assert repeated(rows) and repeated(narrowed) == repeated(rows)
+    size = lambda rows: sum(len(r[3]) for r in rows)
+    assert size(narrowed) < size(rows) / 2
+    starts = suffix_dedup.repeated_starts([r[3] for r in narrowed], 40)
+    assert {(r[0], r[1] + i) for r, at in zip(narrowed, starts) for i in at.tolist()} == {x[1:] for x in repeated(rows)}
